@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, langid, mixing, quality
+from tallyforge.llm import ann, bpe, jaccard, langid, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1,
         "op2_language_id": langid.op2,
+        "op4_jaccard_join": jaccard.op4,
         "op6_mixing": mixing.op6,
         "op7_byte_bpe": bpe.op7,
+        "op8_nearest_neighbours": ann.op8,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL}
+    return {"op6_mixing": mixing.OP6_SQL, "op8_nearest_neighbours": ann.OP8_SQL}
