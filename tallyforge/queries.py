@@ -55,7 +55,7 @@ e AS (
   SELECT tx_id, 1::INT, CASE WHEN op = 'Deposit' THEN 'CREDIT' ELSE 'DEBIT' END, 0, amount, (sum(CASE WHEN op = 'Deposit' THEN -amount ELSE amount END) OVER (ORDER BY tx_id))::BIGINT FROM fold WHERE ok)"""
 _P2 = f"""
 n AS (SELECT max(user_id) + 1 AS n FROM events),
-ops AS (
+ops AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY event_id) AS rn, event_id + 2 AS tx_id, round(value * 100)::BIGINT AS amount,
          CASE WHEN event_type IN ('purchase', 'error', 'view') THEN user_id + 1 END AS src,
          CASE WHEN event_type = 'view' THEN (user_id + {_K}) % n + 1 WHEN event_type NOT IN ('purchase', 'error') THEN user_id + 1 END AS dst
@@ -361,7 +361,10 @@ def next_account(spark, d):
     return state.next_account_id(open_ranges(D.open_ops(spark, d)))
 
 
-@register(f"WITH {_OPENS}, {_FLAGS}, a AS (SELECT unnest(generate_series(begin_account_id, begin_account_id + count - 1)) AS account_id FROM opens), x AS (SELECT account_id, min(1) AS m FROM a GROUP BY 1), lastf AS (SELECT user_id + 1 AS account_id, max(event_id) + 1 AS t FROM events WHERE event_type = 'signup' GROUP BY 1), o AS (SELECT unnest(generate_series(begin_account_id, begin_account_id + count - 1)) AS account_id, tx_id FROM opens) SELECT COALESCE(o.account_id, f.account_id) AS account_id, CASE WHEN lastf.t >= COALESCE(o.tx_id, 0) THEN f.flags ELSE 1 END AS flags FROM o FULL JOIN f ON f.account_id = o.account_id LEFT JOIN lastf ON lastf.account_id = f.account_id")
+@register(f"""WITH {_OPENS}, both_kinds AS (
+  SELECT unnest(generate_series(begin_account_id, begin_account_id + count - 1)) AS account_id, tx_id * 2 AS pos, 1::BIGINT AS flags FROM opens
+  UNION ALL SELECT user_id + 1, (event_id + 1) * 2 + 1, 1 + 256 * ({_K} + 1) FROM events WHERE event_type = 'signup')
+SELECT account_id, arg_max(flags, pos) AS flags FROM both_kinds GROUP BY 1""")
 def flags_fold(spark, d):
     return state.account_flags(open_ranges(D.open_ops(spark, d)), D.flag_events(spark, d).withColumn("seq", F.lit(1)))
 
@@ -464,7 +467,7 @@ def throughput_stats(spark, d):
 
 
 @register(f"""WITH {_PROBES}, s AS (SELECT level, list_sort(list(latency_ns)) AS x, count(*) AS n FROM probes WHERE latency_ns > 0 GROUP BY 1)
-SELECT level, n, x[least((n * 0.5::DOUBLE)::DOUBLE.floor()::BIGINT, n - 1) + 1] AS p50, x[least(floor(n * 0.99::DOUBLE)::BIGINT, n - 1) + 1] AS p99, x[least(floor(n * 0.999::DOUBLE)::BIGINT, n - 1) + 1] AS p999, x[n] AS max FROM s""".replace("(n * 0.5::DOUBLE)::DOUBLE.floor()::BIGINT", "floor(n * 0.5::DOUBLE)::BIGINT"))
+SELECT level, n, x[least(floor(n * 0.5::DOUBLE)::BIGINT, n - 1) + 1] AS p50, x[least(floor(n * 0.99::DOUBLE)::BIGINT, n - 1) + 1] AS p99, x[least(floor(n * 0.999::DOUBLE)::BIGINT, n - 1) + 1] AS p999, x[n] AS max FROM s""")
 def latency_quantiles(spark, d):
     return metrics.latency_quantiles(D.probes(spark, d))
 
