@@ -8,8 +8,8 @@
 3. The prefix of a group (the shortest that must meet the prefix of any partner) is laid out by shingle. Groups that share
    a prefix shingle and pass the size and position filters are candidates. As components are asked for, two rounds compare
    the groups of a shingle with one pivot only; the last round expands groups to members and takes every remaining
-   candidate pair whose members are still in different components. No pair that could join two components is left out, and
-   pairs within a known component are never formed.
+   candidate pair whose members are still in different components, once, if their bitmaps and first
+   HEAD shingles leave room for a link. No pair that could join two components is left out, and pairs within a component are never formed.
 4. A candidate pair is verified on the whole sets of its two texts.
 
 Hashes have 64 bits, set signatures 128; nothing else is approximate. Joins by a hot key are between one large and one
@@ -40,6 +40,12 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Up to so many candidate documents their ids are broadcast (8 bytes each) to fetch the texts; beyond, texts are shuffled.
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
+#: Of each set so many first shingles, at least its prefix, are kept to bound the intersection of a pair.
+HEAD = 64
+#: Words of 64 bits of a set's bitmap; a bit stands for all shingles that hash to it.
+MAP_WORDS = 16
+#: Pairs of texts hashed at once.
+PAIRS = 256
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -114,22 +120,25 @@ def least_overlap(a: Column, b: Column) -> Column:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, p1, p2, prefix): set size, signatures of set and prefix, and the prefix in the common order."""
+    """(id, n, s1, s2, p1, p2, head, bits): set size, signatures of set and prefix, the set's first shingles in the common order, its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sign, heads = [], [], []
+            n, sign, heads, maps = [], [], [], []
             for s in sets_of(batch.column(1)):
                 n.append(len(s))
-                head = s[np.lexsort((s, counts[bucket(s)]))[: len(s) - (NUM * len(s) + DEN - 1) // DEN + 1]] if len(s) else s
-                heads.append(head)
+                maps.append(np.packbits(np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) > 0).view(np.int64))
+                size = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1 if len(s) else 0
+                heads.append(s[np.lexsort((s, counts[bucket(s)]))[: max(size, HEAD)]])
+                head = heads[-1][:size]
                 sign.append([x for y in (s, head) for x in ((y * MIX[10] ^ y >> np.uint64(31)).sum(dtype=np.uint64), ((y ^ y >> np.uint64(33)) * MIX[11]).sum(dtype=np.uint64))])
             signs = np.array(sign, np.uint64).reshape(-1, 4).view(np.int64)
             flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(signs[:, k].copy()) for k in range(4)), lists], names=["id", "n", "s1", "s2", "p1", "p2", "prefix"])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.concatenate([*maps, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(signs[:, k].copy()) for k in range(4)), lists, bits], names=["id", "n", "s1", "s2", "p1", "p2", "head", "bits"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n int, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n int, s1 long, s2 long, p1 long, p2 long, head array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -137,14 +146,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok, last, left = [], None, None
-            ids = batch.column(0).to_pylist()
-            for i, (x, lo, hi) in enumerate(zip(ids, _each(batch.column(2)), _each(batch.column(3)), strict=True)):
-                if x != last or i == 0:
-                    last, left = x, lo()
-                right = hi()
-                common = len(left) + len(right) - len(np.union1d(left, right))
-                ok.append(DEN * common >= NUM * (len(left) + len(right) - common) and common > 0)
+            ok = []
+            for lo in range(0, len(batch), PAIRS):
+                for x, y in zip(sets_of(batch.column(2).slice(lo, PAIRS)), sets_of(batch.column(3).slice(lo, PAIRS)), strict=True):
+                    both = np.sort(np.concatenate([x, y]))
+                    shared = np.count_nonzero(both[1:] == both[:-1])
+                    ok.append(shared > 0 and DEN * shared >= NUM * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -152,13 +159,6 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, ok boolean")
 
 
-def _each(column: pa.Array) -> Iterator:
-    """For each text a function that gives its set."""
-    for i in range(len(column)):
-        one = column.slice(i, 1)
-        yield lambda one=one: next(iter(sets_of(one)))
-
-
 def fits(an: str, ap: str, bn: str, bp: str) -> Column:
     """Whether groups of these sizes that share the shingles at these prefix positions can link."""
     small, large = F.least(F.col(an), F.col(bn)), F.greatest(F.col(an), F.col(bn))
@@ -167,6 +167,19 @@ def fits(an: str, ap: str, bn: str, bp: str) -> Column:
     return (DEN * small >= NUM * large) & (at_small <= small - least_overlap(small, small))
 
 
+def enough(shingle: Column) -> Column:
+    """Whether sets of sizes an and bn can link by their bitmaps and first shingles, and meet at no earlier shingle than this.
+
+    Each bit in which the bitmaps am and bm differ is a shingle at least that only one set has. Of shared shingles, those up
+    to the end of the head (ah, bh) that ends first are in both heads; what lies beyond in either bounds the others.
+    """
+    need = least_overlap(F.col("an"), F.col("bn"))
+    differ = sum((F.bit_count(F.get("am", F.lit(k)).bitwiseXOR(F.get("bm", F.lit(k)))) for k in range(1, MAP_WORDS)), F.bit_count(F.get("am", F.lit(0)).bitwiseXOR(F.get("bm", F.lit(0)))))
+    common = F.array_intersect("ah", "bh")
+    beyond = F.greatest(F.col("an") - F.size("ah"), F.col("bn") - F.size("bh"))
+    return (differ <= F.col("an") + F.col("bn") - 2 * need) & ((F.size(common) == 0) | (F.get(common, F.lit(0)) == shingle)) & (F.size(common) + beyond >= need)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -174,17 +187,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = persist(prefixes(texts, counts), "jaccard-sets")
     full = sets.where("n > 0 AND id IS NOT NULL")
     same = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("cls"))
-    rows = persist(sets.drop("p1", "p2", "prefix").join(same, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("cls", "id").alias("cls")), "jaccard-rows")
-    one_each = same.select("cls", "n", "s1", "s2").join(full.select(F.col("id").alias("cls"), "n", "s1", "s2", "p1", "p2", "prefix"), ["cls", "n", "s1", "s2"]).select("cls", "n", "p1", "p2", "prefix")
+    rows = persist(sets.drop("p1", "p2", "head", "bits").join(same, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("cls", "id").alias("cls")), "jaccard-rows")
+    one_each = same.select("cls", "n", "s1", "s2").join(full.select(F.col("id").alias("cls"), "n", "s1", "s2", "p1", "p2", "head", "bits"), ["cls", "n", "s1", "s2"]).select("cls", "n", "p1", "p2", "head", "bits")
     members = persist(one_each, "jaccard-classes")
     drop_persisted(sets)
     alike = members.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.count("*").alias("m"))
     grouped = persist(members.select("cls", "n", "p1", "p2").join(alike, ["n", "p1", "p2"]).select("cls", "gid", "m"), "jaccard-groups")
     leaders = grouped.where("cls = gid").select("gid", "m")
-    listed = members.withColumnRenamed("cls", "gid").join(leaders, "gid").select("gid", "n", "m", F.posexplode("prefix").alias("pos", "shingle"))
+    prefix = F.slice("head", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1").cast("int"))
+    listed = members.withColumnRenamed("cls", "gid").join(leaders, "gid").select("gid", "n", "m", F.posexplode(prefix).alias("pos", "shingle"))
     listed = listed.withColumn("others", F.count("*").over(Window.partitionBy("shingle"))).where("others > 1 OR m > 1")
     lists = persist(listed.select("shingle", "gid", "n", "pos"), "jaccard-lists")
-    drop_persisted(members)
 
     wanted = lists.select("gid").distinct().join(grouped, "gid").select(F.col("cls").alias("id"))
     wanted = persist(wanted, "jaccard-wanted")
@@ -217,10 +230,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         settle(near.select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b")).distinct())
     every = located(lists.join(grouped.select("gid", "cls"), "gid"), "cls")
     mixed = every.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    every = persist(every.join(mixed, "shingle").select("shingle", "cls", "n", "pos", "comp"), "jaccard-open")
-    x = every.select("shingle", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"))
-    y = every.select("shingle", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"))
-    rest = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits("an", "ap", "bn", "bp"))
+    every = every.join(mixed, "shingle").join(members.select("cls", F.slice("head", 1, HEAD).alias("head"), "bits"), "cls")
+    every = persist(every.select("shingle", "cls", "n", "pos", "comp", "head", "bits"), "jaccard-open")
+    x = every.select("shingle", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"), F.col("head").alias("ah"), F.col("bits").alias("am"))
+    y = every.select("shingle", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"), F.col("head").alias("bh"), F.col("bits").alias("bm"))
+    rest = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits("an", "ap", "bn", "bp") & enough(x["shingle"]))
     settle(rest.select("a", "b").distinct())
     return rows.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"))
 
