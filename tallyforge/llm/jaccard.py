@@ -204,12 +204,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     small = wanted.count() <= BROADCAST_IDS
     held = persist(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "jaccard-texts")
 
-    links, comp = None, None
+    comp = None
 
     def settle(pairs: DataFrame) -> None:
         """Verify pairs and merge the components that their links join."""
-        nonlocal links, comp
-        new = persist(verified(pairs, held), "jaccard-links").where("ok").select("a", "b")
+        nonlocal comp
+        checked = persist(verified(pairs, held), "jaccard-links")
+        new = checked.where("ok").select("a", "b")
         if comp is None:
             comp = components(new)
             return
@@ -236,13 +237,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     y = every.select("shingle", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"), F.col("head").alias("bh"), F.col("bits").alias("bm"))
     rest = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits("an", "ap", "bn", "bp") & enough(x["shingle"]))
     settle(rest.select("a", "b").distinct())
-    return rows.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "cls").alias("component_id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "cls"))
+    return rows.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one stays for each component: that with the smallest id."""
-    found = classes(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates([id_col])
+    """The rows of docs of which one stays for each component: that with the smallest id. Rows without an id all stay."""
+    found = classes(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
+    return docs.join(found, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -79,8 +79,8 @@ class ShardStore:
             if not n:
                 return based_on
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            rows = self._rows(runs).join(runs.select(F.col("path").alias("_shard"), "run"), "_shard").drop("_shard")
-            rows.repartition(n, "run").sortWithinPartitions("run").write.partitionBy("run").parquet(folder)
+            rows = self._rows(runs).join(runs.select(F.col("path").alias("_shard"), F.col("run").alias("_run")), "_shard").drop("_shard")
+            rows.repartition(n, "_run").sortWithinPartitions("_run").write.partitionBy("_run").parquet(folder)
             self._commit(live.join(runs.select("path"), "path", "left_anti").unionByName(self._written(folder)), based_on)
 
     def _rows(self, shards: DataFrame) -> DataFrame:
@@ -100,9 +100,9 @@ class ShardStore:
         return cut.select("path", F.concat_ws("-", "tier", "run").alias("run"))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All live rows with shard (its file) and tier."""
+        """All live rows, each with its shard's file, tier, bytes and rows under reserved names."""
         live = self.manifest(version)
-        return self._rows(live).withColumnRenamed("_shard", "shard").join(live.select(F.col("path").alias("shard"), "tier", F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows")), "shard")
+        return self._rows(live).join(live.select(F.col("path").alias("_shard"), F.col("tier").alias("_tier"), F.col("bytes").alias("_bytes"), F.col("rows").alias("_rows")), "_shard")
 
     def vacuum(self) -> int:
         """Delete the data folders that the last manifest does not name; returns how many."""
@@ -128,4 +128,5 @@ def op10(spark, sf_dir: str) -> DataFrame:
     version = store.compact()
     store.vacuum()
     rows = store.read(version)
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.regexp_extract("shard", "/data/(.*)$", 1).alias("shard"), "tier", "shard_bytes", "shard_rows", F.lit(version).alias("version"))
+    shard = F.regexp_extract("_shard", "/data/(.*)$", 1)
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), shard.alias("shard"), F.col("_tier").alias("tier"), F.col("_bytes").alias("shard_bytes"), F.col("_rows").alias("shard_rows"), F.lit(version).alias("version"))
