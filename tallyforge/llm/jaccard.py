@@ -41,7 +41,7 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 BROADCAST_IDS = 1_000_000
 STAR_ROUNDS = 2
 #: Of each set so many first shingles, at least its prefix, are kept to bound the intersection of a pair.
-HEAD = 64
+HEAD = 16
 #: Words of 64 bits of a set's bitmap; a bit stands for all shingles that hash to it.
 MAP_WORDS = 16
 #: Pairs of texts hashed at once.
@@ -213,6 +213,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         new = checked.where("ok").select("a", "b")
         if comp is None:
             comp = components(new)
+            drop_persisted(checked)
             return
         to = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         joined = new.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -221,6 +222,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         kept = comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
         fresh = merged.join(comp.select("node"), "node", "left_anti").select("node", "comp")
         comp = persist(kept.unionByName(fresh), "jaccard-comp")
+        drop_persisted(checked)
 
     settle(grouped.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b")))
     located = lambda df, key: df.join(comp.select(F.col("node").alias(key), "comp"), key, "left").withColumn("comp", F.coalesce("comp", key))
