@@ -26,6 +26,10 @@ from tallyforge.llm.common import scratch_dir, table
 TARGET_BYTES = 128 << 20
 RATIO = 4
 FANOUT = 4
+#: Shards are kept for long and read often.
+CODEC = "zstd"
+#: Tasks of a merge for each run, so that few tasks get several runs.
+TASKS_PER_RUN = 4
 #: Rows of an arriving shard, at most.
 SMALL_ROWS = 50_000
 ARRIVALS = 3
@@ -66,7 +70,7 @@ class ShardStore:
 
     def append(self, arrivals: DataFrame) -> int:
         folder, based_on = f"{self.root}/data/{uuid.uuid4().hex}", self.version()
-        arrivals.write.option("maxRecordsPerFile", self.small_rows).parquet(folder)
+        arrivals.write.option("maxRecordsPerFile", self.small_rows).option("compression", CODEC).parquet(folder)
         return self._commit(self.manifest(based_on).unionByName(self._written(folder)), based_on)
 
     def compact(self) -> int:
@@ -80,7 +84,7 @@ class ShardStore:
                 return based_on
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
             rows = self._rows(runs).join(runs.select(F.col("path").alias("_shard"), F.col("run").alias("_run")), "_shard").drop("_shard")
-            rows.repartition(n, "_run").sortWithinPartitions("_run").write.partitionBy("_run").parquet(folder)
+            rows.repartition(TASKS_PER_RUN * n, "_run").sortWithinPartitions("_run").write.partitionBy("_run").option("compression", CODEC).parquet(folder)
             self._commit(live.join(runs.select("path"), "path", "left_anti").unionByName(self._written(folder)), based_on)
 
     def _rows(self, shards: DataFrame) -> DataFrame:
