@@ -5,7 +5,8 @@ components, packed to bits, with two correction scalars: its length and c, the i
 its own code scaled to length one. <code, rotated query> / c estimates the cosine; its error is below
 EPSILON * sqrt((1 - c^2) / (c^2 (D - 1))) but for rare cases. In each block, the best estimates are reranked first; their
 k-th exact score is then the bar, and every vector whose upper bound reaches it is reranked with the original vectors
-in double precision (components added from first to last).
+in double precision. A task that meets a block of queries with several blocks of vectors carries the bar from one to the
+next. Scores that reach the bar are computed with components added from first to last.
 
 Queries and vectors are cut into blocks by id hash, each pair of blocks is met once by an equi-join on block numbers, and
 only k rows per query and block are kept; every vector is indexed, nothing is fitted.
@@ -78,40 +79,58 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, length: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of queries, rows of vectors and scores of the k nearest (or fewer) of each query."""
+def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, length: np.ndarray, c: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries, rows of vectors and scores of the k nearest (or fewer) of each query; none below its score in least."""
     dim = queries.shape[1]
-    signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
+    # Estimates and their bounds are for queries of length one.
+    codes = ((np.unpackbits(bits, axis=1, count=dim) * 2.0 - 1) * (length / c / np.sqrt(dim))[:, None]).astype(np.float32).T
     size = np.sqrt((queries * queries).sum(1))
     turned = ((queries / size[:, None]) @ rotation(dim).T).astype(np.float32)
-    slack = EPSILON * np.sqrt(np.maximum(0, 1 - c * c) / (c * c * max(1, dim - 1)))
+    slack = (EPSILON * np.sqrt(np.maximum(0, 1 - c * c) / (c * c * max(1, dim - 1))) * length).astype(np.float32)
+    # The order of summing changes a score by less than this.
+    rounding = 4 * dim * np.finfo(float).eps * size * length.max()
+    first = min(len(ids), 3 * k)
     out = []
     for lo in range(0, len(queries), ROWS):
+        asked = queries[lo : lo + ROWS]
+        n = len(asked)
         own = query_ids[lo : lo + ROWS, None] == ids[None, :]
-        scale = length[None, :] * size[lo : lo + ROWS, None]
-        estimate = turned[lo : lo + ROWS] @ signs.T / c[None, :] * scale
+        estimate = turned[lo : lo + ROWS] @ codes
         estimate[own] = -np.inf
-        first = min(len(ids), 3 * k)
-        likely = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
-        n = len(likely)
+        likely = np.argpartition(estimate, len(ids) - first, axis=1)[:, len(ids) - first :]
         rows = np.repeat(np.arange(n), first)
-        scores = exact(queries[lo + rows], vectors[likely.ravel()]).reshape(n, first)
+        scores = exact(asked[rows], vectors[likely.ravel()]).reshape(n, first)
         scores[np.take_along_axis(own, likely, 1)] = -np.inf
-        bar = -np.sort(-scores, axis=1)[:, min(k, first) - 1] if first >= k else np.full(n, -np.inf)
-        q, v = np.nonzero((estimate + slack[None, :] * scale >= bar[:, None]) & ~own)
-        s = np.concatenate([exact(queries[lo + q[i : i + PAIRS]], vectors[v[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)] or [np.zeros(0)])
-        keep = s >= bar[q]
-        q, v, s = np.concatenate([q[keep], rows]), np.concatenate([v[keep], likely.ravel()]), np.concatenate([s[keep], scores.ravel()])
-        _, once = np.unique(q * len(ids) + v, return_index=True)
-        q, v, s = q[once], v[once], s[once]
+        bar = -np.sort(-scores, axis=1)[:, k - 1] if first >= k else np.full(n, -np.inf)
+        if least is not None:
+            bar = np.maximum(bar, least[lo : lo + ROWS])
+        estimate += slack
+        chosen = estimate >= (bar / size[lo : lo + ROWS] - 1e-5 * length.max()).astype(np.float32)[:, None]
+        chosen &= ~own
+        np.put_along_axis(chosen, likely, False, axis=1)
+        near = []
+        for j in range(n):
+            at = np.flatnonzero(chosen[j])
+            near.append(at[vectors[at] @ asked[j] >= bar[j] - rounding[lo + j]])
+        q, v = np.concatenate([np.repeat(np.arange(n), [len(x) for x in near]), rows]), np.concatenate([*near, likely.ravel()])
+        fresh = len(q) - len(rows)
+        s = np.concatenate([*(exact(asked[q[i : min(fresh, i + PAIRS)]], vectors[v[i : min(fresh, i + PAIRS)]]) for i in range(0, fresh, PAIRS)), scores.ravel()])
+        keep = (s >= bar[q]) & (s > -np.inf)
+        q, v, s = q[keep], v[keep], s[keep]
         order = np.lexsort((ids[v], -s, q))
         q, v, s = q[order], v[order], s[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = (rank < k) & (s > -np.inf)
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
         out.append((lo + q[keep], v[keep], s[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def raised(best: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The k best scores of each query, descending, after those of one more block (rows ascending, scores descending)."""
+    more = np.full_like(best, -np.inf)
+    more[rows, np.arange(len(rows)) - np.searchsorted(rows, rows)] = scores
+    return -np.sort(-np.concatenate([best, more], axis=1), axis=1)[:, : best.shape[1]]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest vectors of each query by inner product."""
     v = F.col("v")
@@ -128,15 +147,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     right = blocks(candidates, n_v, dim, "vb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best = None, None  # a block of queries and its best scores so far in this task
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
                 q, vec = np.frombuffer(row["q"]).reshape(-1, dim), np.frombuffer(row["vectors"]).reshape(-1, dim)
                 bits = np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1)
-                a, b, s = best_of(q_ids, q, ids, vec, bits, np.frombuffer(row["length"]), np.frombuffer(row["c"]), k)
+                if row["qb"] != held:
+                    held, best = row["qb"], np.full((len(q_ids), k), -np.inf)
+                a, b, s = best_of(q_ids, q, ids, vec, bits, np.frombuffer(row["length"]), np.frombuffer(row["c"]), k, best[:, -1])
+                best = raised(best, a, s)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(ids[b]), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    met = left.join(right, ["qb", "vb"]).select("q_ids", "q", "ids", "vectors", "bits", "length", "c").mapInArrow(run, "query_id long, vec_id long, score double")
+    met = left.join(right, ["qb", "vb"]).select("qb", "q_ids", "q", "ids", "vectors", "bits", "length", "c").mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
