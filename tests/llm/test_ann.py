@@ -84,3 +84,25 @@ def test_repeated_rows(spark):
     df = frame(spark, [(0, [1, 1]), (0, [1, 1]), (1, [1, 0]), (1, [1, 0])])
     got = ann.nearest(df, df.where("vec_id = 0")).collect()
     assert {r.vec_id for r in got} == {1}
+
+
+@pytest.mark.parametrize("spread", [0.0, 2.0])
+def test_carried_bar_loses_no_neighbour(spread):
+    """Blocks met one after the other with the bar of those before give what all vectors at once give."""
+    rng, dim, k = np.random.default_rng(5), 16, 4
+    v = rng.standard_normal((600, dim)) * np.exp(spread * rng.standard_normal((600, 1)))
+    v[300:320] = v[7]  # ties across blocks
+    ids, queries = np.arange(600), v[::20]
+    length = np.sqrt((v * v).sum(1))
+    turned = (v / length[:, None]) @ ann.rotation(dim).T
+    c, bits = np.abs(turned).sum(1) / np.sqrt(dim), np.packbits(turned > 0, axis=1)
+    best, rows = np.full((len(queries), k), -np.inf), []
+    for lo in range(0, 600, 150):
+        x = slice(lo, lo + 150)
+        q, at, s = ann.best_of(ids[::20], queries, ids[x], v[x], bits[x], length[x], c[x], k, best[:, -1])
+        best = ann.raised(best, q, s)
+        rows += zip(q.tolist(), (-s).tolist(), (lo + at).tolist(), strict=True)
+    want = brute([(i, x) for i, x in enumerate(v)], ids[::20], k)
+    hits = [len({i for _, _, i in sorted(r for r in rows if r[0] == n)[:k]} & {i for i, _ in want[q]}) for n, q in enumerate(ids[::20].tolist())]
+    assert np.mean(hits) / k >= 0.98
+    assert all(len([r for r in rows if r[0] == n]) >= k for n in range(len(queries)))
