@@ -8,9 +8,10 @@ unless they stand in an ``article`` or ``main`` element, since articles do repea
 such an element, blocks outside it are deleted too. Two neighbours of which one has nothing of its own (copies of one page)
 are not held against each other.
 
-Pages of a host with more than BLOCK pages are dealt by path hash into groups of about BLOCK pages, in which the order
-holds; so a hot host is many groups, and a path that more than BLOCK pages share is dealt by their ids besides. Such hosts
-and paths are few against the pages; they are broadcast up to BROADCAST_ROWS of them and joined by shuffling beyond.
+The order is that of all pages, whatever the size of a host: hashes of the blocks are dealt by ranges of host, path and id
+of BLOCK pages or more, and the first and last pages of a range are handed to the ranges beside it. Equal pages in a row are
+one run, so a copy's neighbours are the nearest pages that differ from it. Pages that lose blocks are broadcast up to
+BROADCAST_ROWS of them and joined by shuffling beyond; the texts themselves are read again and move only for that join.
 
 Defined cases: null or empty html gives empty text; a null url has an empty host and path; pages with equal urls are
 neighbours in the order of their ids; markup that ends early is read as far as it goes; other columns are not read.
@@ -18,6 +19,7 @@ neighbours in the order of their ids; markup that ends early is read as far as i
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import drop_persisted, persist, table
 from tallyforge.llm.urlrules import host_of, path_of
 
 BLOCK = 128
@@ -107,11 +109,11 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """Places in a of one longest common subsequence of a and b, by bit rows."""
     both = set(a) & set(b)
     x, y = [i for i, s in enumerate(a) if s in both], [s for s in b if s in both]
-    where: dict[str, int] = {}
+    where: dict = {}
     for j, s in enumerate(y):
         where[s] = where.get(s, 0) | 1 << j
     full = (1 << len(y)) - 1
@@ -134,17 +136,43 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def shared(own: list[str], other: list[str]) -> set[int]:
+def shared(own: list, other: list) -> set[int]:
     """Blocks of own that are aligned with blocks of other; none if one of the two is a copy of part of the other."""
     found = common(own, other)
     return set() if len(found) in (len(own), len(other)) and len(found) > 1 else found
 
 
-def article(blocks: list[str], inside: list[bool], neighbours: list[list[str]]) -> str:
-    gone = set().union(*(shared(blocks, n) for n in neighbours)) if neighbours else set()
-    if any(inside):
-        return "\n".join(b for b, i in zip(blocks, inside, strict=True) if i)
-    return "\n".join(b for k, b in enumerate(blocks) if k not in gone)
+def borders(edges: list) -> tuple[dict, dict]:
+    """For each range the nearest run before its first and after its last that differs, from the first and last two runs of all."""
+    found: list[dict] = [{}, {}]
+    by_range: dict[int, list] = {}
+    for e in sorted(edges, key=lambda e: (e["pid"], e["run"])):
+        by_range.setdefault(e["pid"], []).append((e["host"], list(e["lines"])))
+    for out, step in zip(found, (1, -1), strict=True):
+        trail: list = []
+        for pid in sorted(by_range, reverse=step < 0):
+            runs = by_range[pid][::step]
+            near = next((x for x in reversed(trail) if x != runs[0]), None)
+            out[pid] = near[1] if near and near[0] == runs[0][0] else None
+            for x in runs:
+                if not trail or trail[-1] != x:
+                    trail = [*trail[-1:], x]
+    return found[0], found[1]
+
+
+def lost(lines: list[int], inside: list[bool], neighbours: list[list[int]]) -> list[int]:
+    """Places of the blocks that neighbours share."""
+    return [] if any(inside) else sorted(set().union(*(shared(lines, n) for n in neighbours)))
+
+
+def doomed(aligned: DataFrame, runs: DataFrame) -> DataFrame:
+    """Of the shared blocks those that are deleted."""
+    return aligned
+
+
+def article(blocks: list[tuple[str, bool]], gone: set[int]) -> str:
+    within = any(i for _, i in blocks)
+    return "\n".join(b for k, (b, i) in enumerate(blocks) if k not in gone and (i or not within))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -154,44 +182,71 @@ def small(df: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
-    kind = dict(pages.dtypes)["page_id"]
+    spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [blocks_of(x) if x else [] for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())), pa.array([[i for _, i in f] for f in found], pa.list_(pa.bool_()))], names=["page_id", "url", "host", "path", "blocks", "inside"])
+            lines = [[int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t, _ in f] for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(lines, pa.list_(pa.int64())), pa.array([[i for _, i in f] for f in found], pa.list_(pa.bool_()))], names=["page_id", "key", "host", "path", "lines", "inside"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a range follow each other; equal pages in a row are a run."""
+        now, run = None, -1
+        for batch in batches:
+            runs, first = [], []
+            for at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                first.append(at != now)
+                run += at != now
+                now = at
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(runs, pa.int64()), pa.array(first, pa.bool_())], names=[*batch.schema.names, "run", "first"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a group follow each other by path; a row is done when its follower is known."""
-        before, now = None, None
+        """A run is done when its follower is known; all its pages lose the same blocks."""
+        before, now, keys = None, None, []
 
-        def done(after) -> dict:
-            near = [x["blocks"] for x in (before, after) if x and (x["host"], x["salt"]) == (now["host"], now["salt"])]
-            text = article(now["blocks"], now["inside"], near)
-            return {"page_id": now["page_id"], "url": now["url"], "text": text, "n_chars": len(text)}
+        def done(after) -> list[dict]:
+            low = (before["lines"] if before["host"] == now["host"] else None) if before and before["pid"] == now["pid"] else lower[now["pid"]]
+            high = (after["lines"] if after["host"] == now["host"] else None) if after and after["pid"] == now["pid"] else upper[now["pid"]]
+            blocks = lost(now["lines"], now["inside"], [x for x in (low, high) if x is not None])
+            return [{**k, "host": now["host"], "at": i, "line": now["lines"][i], "inside": now["inside"][i]} for k in keys for i in blocks]
 
         schema = None
         for batch in batches:
-            schema = pa.schema([batch.schema.field("page_id"), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+            schema = pa.schema([batch.schema.field("page_id"), ("key", pa.int64()), ("host", pa.string()), ("at", pa.int32()), ("line", pa.int64()), ("inside", pa.bool_())])
             out = []
             for row in batch.to_pylist():
-                if now:
-                    out.append(done(row))
-                before, now = now, row
+                if now and (row["pid"], row["run"]) != (now["pid"], now["run"]):
+                    out += done(row)
+                    before, now, keys = now, None, []
+                now = now or row
+                keys.append({"page_id": row["page_id"], "key": row["key"]})
             yield pa.RecordBatch.from_pylist(out, schema)
         if now:
-            yield pa.RecordBatch.from_pylist([done(None)], schema)
-
-    url = F.col("url")
-    parts = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), "html")
-    paths = parts.groupBy("host", "path").count()
-    large = paths.groupBy("host").agg(F.sum("count").alias("count")).where(F.col("count") > BLOCK).select("host", F.ceil(F.col("count") / BLOCK).alias("groups"))
-    crowded = paths.where(F.col("count") > BLOCK).select("host", "path", F.ceil(F.col("count") / BLOCK).alias("parts"))
-    parsed = parts.mapInArrow(parse, f"page_id {kind}, url string, host string, path string, blocks array<string>, inside array<boolean>")
-    part = F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1)))
-    dealt = parsed.join(small(large), "host", "left").join(small(crowded), ["host", "path"], "left").withColumn("salt", F.pmod(F.xxhash64("path", part), F.coalesce("groups", F.lit(1))))
-    ordered = dealt.repartition("host", "salt").sortWithinPartitions("host", "salt", "path", "page_id").select("page_id", "url", "host", "salt", "blocks", "inside")
-    return ordered.mapInArrow(compare, f"page_id {kind}, url string, text string, n_chars long")
+            yield pa.RecordBatch.from_pylist(done(None), schema)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [article(blocks_of(x) if x else [], set(gone or ())) for x, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    url, order = F.col("url"), ["host", "path", "page_id", "key"]
+    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
+    parsed = keyed.select("page_id", "key", host_of(url).alias("host"), path_of(url).alias("path"), "html").mapInArrow(parse, f"page_id {kind}, key long, host string, path string, lines array<long>, inside array<boolean>")
+    lists = persist(parsed.dropDuplicates(["key", "page_id"]), "page-lines")
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lists.count() // BLOCK)))
+    ranged = lists.repartitionByRange(n, *order).sortWithinPartitions(*order).select("page_id", "key", "host", "lines", "inside", F.spark_partition_id().alias("pid"))
+    runs = persist(ranged.mapInArrow(number, f"page_id {kind}, key long, host string, lines array<long>, inside array<boolean>, pid int, run long, first boolean"), "page-runs")
+    last = runs.groupBy("pid").agg(F.max("run").alias("last"))  # one row for each range
+    lower, upper = borders(runs.where("first").join(F.broadcast(last), "pid").where("run <= 1 OR run >= last - 1").select("pid", "run", "host", "lines").collect())
+    aligned = persist(runs.repartitionByRange(n, "pid").sortWithinPartitions("pid", "run").mapInArrow(compare, f"page_id {kind}, key long, host string, at int, line long, inside boolean"), "page-aligned")
+    gone = persist(doomed(aligned, runs).groupBy("key", "page_id").agg(F.collect_list("at").alias("gone")), "page-gone")
+    for x in (lists, runs, aligned):
+        drop_persisted(x)
+    gone = small(gone.withColumnRenamed("page_id", "of"))
+    same = (keyed["key"] == gone["key"]) & keyed["page_id"].eqNullSafe(gone["of"])
+    return keyed.join(gone, same, "left").select("page_id", "url", "html", "gone").mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

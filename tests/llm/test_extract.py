@@ -80,6 +80,16 @@ def test_repeated_rows_and_a_hot_path(spark, monkeypatch):
     assert len(got) == 60 and all(r.text == f"own {r.page_id}" for r in got)
 
 
+def test_order_holds_in_a_large_host_and_copies_look_further(spark, monkeypatch):
+    monkeypatch.setattr(extract, "BLOCK", 4)
+    page = lambda s, k: f"<p>Menu of {s}</p><p>Story {s} {k}</p>"
+    rows = [(100 * s + k, f"http://large/{s:02}/{k:02}", page(s, k)) for s in range(40) for k in range(4)]
+    rows += [(10_000 + k, f"http://copies/{k:03}", "<p>Site</p><p>Copied</p>" if 1 < k < 90 else f"<p>Site</p><p>Own {k}</p>") for k in range(92)]
+    got = run(spark, rows)
+    assert all(got[100 * s + k].text == f"Story {s} {k}" for s in range(40) for k in range(4))
+    assert all(got[10_000 + k].text == ("Copied" if 1 < k < 90 else f"Own {k}") for k in range(92))
+
+
 def test_pages_match_a_plain_reading(spark, tiny):
     from html.parser import HTMLParser
 
