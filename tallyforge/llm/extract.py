@@ -3,10 +3,11 @@
 Every page becomes blocks of text in page order. Markup that is never article text (menus, headers, footers, asides,
 forms, scripts, styles, and elements whose class or id names an advert, a notice, a comment list and the like) gives none.
 Then pages of a host are put in the order of their URL paths and each page is paired with its neighbours on either side;
-the blocks of a pair are aligned by a longest common subsequence, and aligned blocks are shared. Shared blocks are deleted
-unless they stand in an ``article`` or ``main`` element, since articles do repeat passages of one another; where a page has
-such an element, blocks outside it are deleted too. Two neighbours of which one has nothing of its own (copies of one page)
-are not held against each other.
+the blocks of a pair are aligned by a longest common subsequence, and aligned blocks are shared. Shared blocks are deleted,
+and no others. An ``article`` or ``main`` element is a hint: since articles do repeat passages of one another, a shared block
+inside one is deleted only if MANY pages and SHARE of the pages of its host share it with a neighbour, and neighbours that
+share more than half of the blocks inside (near copies) are not held against each other there. Two neighbours of which one
+has nothing of its own (copies of one page) are not held against each other at all.
 
 The order is that of all pages, whatever the size of a host: hashes of the blocks are dealt by ranges of host, path and id
 of BLOCK pages or more, and the first and last pages of a range are handed to the ranges beside it. Equal pages in a row are
@@ -33,6 +34,8 @@ from tallyforge.llm.urlrules import host_of, path_of
 
 BLOCK = 128
 BROADCAST_ROWS = 100_000
+MANY = 5
+SHARE = 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -161,18 +164,24 @@ def borders(edges: list) -> tuple[dict, dict]:
 
 
 def lost(lines: list[int], inside: list[bool], neighbours: list[list[int]]) -> list[int]:
-    """Places of the blocks that neighbours share."""
-    return [] if any(inside) else sorted(set().union(*(shared(lines, n) for n in neighbours)))
+    """Places of the blocks that neighbours share; blocks inside only of neighbours that share at most half of those."""
+    gone: set[int] = set()
+    for found in (shared(lines, n) for n in neighbours):
+        near_copy = 2 * sum(inside[i] for i in found) > sum(inside)
+        gone.update(i for i in found if not (inside[i] and near_copy))
+    return sorted(gone)
 
 
 def doomed(aligned: DataFrame, runs: DataFrame) -> DataFrame:
-    """Of the shared blocks those that are deleted."""
-    return aligned
+    """Of the shared blocks those outside, and of those inside the ones that many pages of their host share."""
+    pages = runs.groupBy("host").agg(F.count("*").alias("pages"))
+    sharing = aligned.where("inside").groupBy("host", "line").agg(F.count_distinct("key").alias("n"))
+    often = sharing.where(F.col("n") >= MANY).join(pages, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "line")
+    return aligned.where("NOT inside").unionByName(aligned.where("inside").join(small(often), ["host", "line"], "left_semi").select(aligned.columns))
 
 
 def article(blocks: list[tuple[str, bool]], gone: set[int]) -> str:
-    within = any(i for _, i in blocks)
-    return "\n".join(b for k, (b, i) in enumerate(blocks) if k not in gone and (i or not within))
+    return "\n".join(b for k, (b, _) in enumerate(blocks) if k not in gone)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -80,6 +80,19 @@ def test_repeated_rows_and_a_hot_path(spark, monkeypatch):
     assert len(got) == 60 and all(r.text == f"own {r.page_id}" for r in got)
 
 
+def test_shared_lines_decide_inside_articles_too(spark):
+    page = lambda k: f"<div>Menu</div><div>Aside {k}</div><article><p>Own {k}</p><p>Passage {k // 2}</p><p>Also {k}</p><p>Please donate</p></article>"
+    got = run(spark, [(k, f"http://h/{k}", page(k)) for k in range(8)] + [(9, "http://alone/x", page(9))])
+    assert all(got[k].text == f"Aside {k}\nOwn {k}\nPassage {k // 2}\nAlso {k}" for k in range(8))
+    assert got[9].text == "Menu\nAside 9\nOwn 9\nPassage 4\nAlso 9\nPlease donate"
+
+
+def test_near_copies_of_an_article_stay_whole(spark):
+    page = lambda k: f"<article><p>One</p><p>Two</p><p>Three</p><p>Copy {k}</p></article>"
+    got = run(spark, [(k, f"http://h/{k}", page(k)) for k in range(8)])
+    assert all(got[k].text == f"One\nTwo\nThree\nCopy {k}" for k in range(8))
+
+
 def test_order_holds_in_a_large_host_and_copies_look_further(spark, monkeypatch):
     monkeypatch.setattr(extract, "BLOCK", 4)
     page = lambda s, k: f"<p>Menu of {s}</p><p>Story {s} {k}</p>"
