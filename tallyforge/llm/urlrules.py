@@ -1,7 +1,8 @@
 """URL filters: explicit host and path rules, and a path-template tree for what they leave.
 
 Per host, paths become templates: segments with a digit are variable; under each parent a level with more than VARIABLE
-different segments becomes one wildcard. From the deepest level up, sibling branches whose share of good labelled pages
+different segments becomes one wildcard, but for segments with ENOUGH labels whose share of good ones differs from that of
+their siblings. From the deepest level up, sibling branches whose share of good labelled pages
 does not differ from that of the other siblings at SIMILAR standard errors are merged. A template's purity is its
 share of good labels, smoothed by PRIOR pages of the overall share; below MIN_PURITY it is blocked.
 
@@ -24,6 +25,7 @@ from tallyforge.llm.common import drop_persisted, persist, table
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DEPTH = 6
 VARIABLE = 20
+ENOUGH = 5
 SIMILAR = 1.96
 PRIOR = 10.0
 MIN_PURITY = 0.5
@@ -74,6 +76,17 @@ def _step(tree: DataFrame, changed: DataFrame, on: list[str], depth: int, by: st
     return out
 
 
+def _children(tree: DataFrame, depth: int) -> DataFrame:
+    """Segments of a level, with the number of siblings, the labels of each and of its siblings, and whether their shares are alike."""
+    children = tree.where(F.size("t") >= depth).groupBy("host", *_at(depth)).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    rest = children.groupBy("host", "parent").agg(F.sum("g").alias("gs"), F.sum("b").alias("bs"), F.count("*").alias("n"))
+    n, m = F.col("g") + F.col("b"), F.col("gs") + F.col("bs")
+    others, p = m - n, F.col("gs") / F.greatest(m, F.lit(1))
+    error = F.sqrt(p * (1 - p) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
+    apart = F.abs(F.col("g") / F.greatest(n, F.lit(1)) - (F.col("gs") - F.col("g")) / F.greatest(others, F.lit(1)))
+    return children.join(rest, ["host", "parent"]).select("host", "parent", "seg", "n", n.alias("labels"), others.alias("others"), (apart <= SIMILAR * error).alias("alike"))
+
+
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, lexical, template, purity) from pages (page_id, host, path) and labels (page_id, good)."""
     lexical = pages.select("page_id", "host", F.array_join(segments(F.col("path")), "/").alias("lexical"))
@@ -81,18 +94,12 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     tree = persist(seen.withColumn("t", F.when(F.col("lexical") == "", F.array().cast("array<string>")).otherwise(F.split("lexical", "/", DEPTH))).select("host", "lexical", "t", "good", "bad"), "url-tree")
     deepest = min(DEPTH, tree.agg(F.max(F.size("t"))).first()[0] or 0)
     for depth in range(1, deepest + 1):
-        children = tree.where(F.size("t") >= depth).select("host", *_at(depth)).distinct()
-        wide = children.groupBy("host", "parent").count().where(F.col("count") > VARIABLE).select("host", "parent")
-        tree = _step(tree, wide, ["host", "parent"], depth, WILD)
+        children = _children(tree, depth)
+        own = (F.col("labels") >= ENOUGH) & (F.col("others") > 0) & ~F.col("alike")
+        tree = _step(tree, children.where((F.col("n") > VARIABLE) & ~own).select("host", "parent", "seg"), ["host", "parent", "seg"], depth, WILD)
     for depth in range(deepest, 0, -1):
-        children = tree.where(F.size("t") >= depth).groupBy("host", *_at(depth)).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        rest = children.groupBy("host", "parent").agg(F.sum("g").alias("gs"), F.sum("b").alias("bs"), F.count("*").alias("n"))
-        n, m = F.col("g") + F.col("b"), F.col("gs") + F.col("bs")
-        others, p = m - n, F.col("gs") / F.greatest(m, F.lit(1))
-        error = F.sqrt(p * (1 - p) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-        apart = F.abs(F.col("g") / F.greatest(n, F.lit(1)) - (F.col("gs") - F.col("g")) / F.greatest(others, F.lit(1)))
-        similar = (F.col("n") > 1) & ((n == 0) | (others == 0) | (apart <= SIMILAR * error))
-        tree = _step(tree, children.join(rest, ["host", "parent"]).where(similar).select("host", "parent", "seg"), ["host", "parent", "seg"], depth, MERGED)
+        similar = (F.col("n") > 1) & ((F.col("labels") == 0) | (F.col("others") == 0) | F.col("alike"))
+        tree = _step(tree, _children(tree, depth).where(similar).select("host", "parent", "seg"), ["host", "parent", "seg"], depth, MERGED)
     sums = tree.groupBy("host", F.array_join("t", "/").alias("template")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     overall = sums.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     share = (overall["g"] or 0) / max(1, (overall["g"] or 0) + (overall["b"] or 0)) if (overall["g"] or 0) + (overall["b"] or 0) else 1.0

@@ -68,6 +68,14 @@ def test_variable_segments_become_wildcards(spark):
     assert got["h/spam/page"].verdict == "block" and got["h/item/0"].verdict == "allow"
 
 
+@pytest.mark.parametrize("siblings", [20, 21, 60])
+def test_a_bad_section_is_blocked_among_any_number_of_siblings(spark, siblings):
+    rows = [(f"http://h/s{chr(97 + k // 26)}{chr(97 + k % 26)}/1", 10, 0) for k in range(siblings - 1)] + [("http://h/bad/1", 0, 60)]
+    got = tree(spark, rows)
+    assert got["h/bad/1"].verdict == "block" and got["h/saa/1"].verdict == "allow"
+    assert len({r.template for r in got.values()}) == 2
+
+
 def test_similar_branches_merge_and_unlike_ones_do_not(spark):
     got = tree(spark, [("http://h/a/x", 40, 2), ("http://h/b/x", 38, 2), ("http://h/c/x", 2, 60)])
     assert got["h/c/x"].template != got["h/a/x"].template
