@@ -39,13 +39,14 @@ SHARE = 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORDS = re.compile(r"[a-z]+")
 #: Elements that hold no article text.
 DROPPED = frozenset("script style noscript template svg iframe object nav footer aside form button select textarea dialog head".split())
 #: Of these the text is no markup.
 RAW = frozenset("script style textarea".split())
-#: Words of a class, an id or a role that name something other than the article.
-OTHERS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Elements that do not end a head.
+HEAD = frozenset("head title meta link base script style noscript template".split())
+#: A class, an id or a role that names something other than the article.
+OTHERS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget site-header site-footer site-nav main-nav main-menu nav-menu comment-list comments-list comments-area comment-section cookie-banner cookie-notice ad-banner ad-container ad-slot share-buttons social-share social-links related-posts related-articles newsletter-signup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -63,11 +64,13 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
             out.append((text, inside > 0))
         held.clear()
 
-    raw = ""
+    raw = inner = ""
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
         close, name = m[1], (m[2] or "").lower()
+        if skip == "head" and not raw and not inner and page[at : m.start()].strip():
+            skip = ""  # text ends a head
         if not raw and not skip and m.start() > at:
             held.append(page[at : m.start()])
         at = m.end()
@@ -78,10 +81,12 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
                 raw = ""
             else:
                 continue
+        if skip == "head" and not close and name not in HEAD or skip not in ("", "template") and not close and name in ("body", "article", "main"):
+            skip, depth, inner = "", 0, ""  # an element that was never closed ends where the body or the article begins
         if skip:
-            if name in ("article", "main") and not close and skip not in ("article", "main", *DROPPED):
-                skip, depth = "", 0  # a container that was never closed ends where the article begins
-            elif name == skip:
+            if skip == "head" and name in ("title", "noscript", "template"):
+                inner = "" if close else name
+            if name == skip:
                 depth += -1 if close else 1
                 if depth <= 0:
                     skip = ""
@@ -98,7 +103,7 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
             continue
         if name in VOID:
             continue
-        named = {w for found in NAMES.findall(m[3]) for w in WORDS.findall("".join(found).lower())} if m[3].strip() else ()
+        named = {w for found in NAMES.findall(m[3]) for w in "".join(found).lower().split() if not (inside and w == "header")} if m[3].strip() else ()
         if name in RAW:
             raw = name
         if name in DROPPED or (name == "header" and not inside) or (named and not OTHERS.isdisjoint(named) and name not in ("html", "body", "article", "main")):
@@ -106,7 +111,7 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
             skip, depth = name, 1
         elif name in ("article", "main"):
             inside += 1
-    if not raw and not skip:
+    if not raw and (not skip or (skip == "head" and not inner)):
         held.append(page[at:])
     flush()
     return out

@@ -31,7 +31,9 @@ from tallyforge.llm.common import table
 #: Pages carry no time of capture; the default stands for all.
 CAPTURED = "1970-01-01T00:00:00Z"
 DERIVED = "derived_kind string, record_id string, refers_to string, target_uri string, payload_digest string, block_digest string, n_links int, n_chars long, record binary"
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Up to its end or to the first text or element that cannot stand in it.
+_HEAD = re.compile(r"<head\b[^>]*>(?:\s+|<title\b[^>]*>.*?</title\s*>|</?(?:title|meta|link|base)\b[^>]*>)*(?:</head\s*>)?", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|footer|header|aside|blockquote|pre|hr|form|main)\b[^>]*>?", re.I)
 _TAG = re.compile(r"<[^>]*(?:>|\Z)")
 _LINK = re.compile(r"<(?:a|area)\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -82,7 +84,7 @@ def response(key: str, url: str, page: str, captured: str = CAPTURED) -> bytes:
 
 def plain_text(page: str) -> str:
     """All text of a page, one line for each block."""
-    found = entities.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page.replace("\n", " ").replace("\r", " ")))))
+    found = entities.unescape(_TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", _HIDDEN.sub(" ", page.replace("\n", " ").replace("\r", " "))))))
     return "\n".join(line for x in found.split("\n") if (line := " ".join(x.split())))
 
 

@@ -36,6 +36,25 @@ def test_blocks(html, text):
     assert "\n".join(t for t, _ in blocks_of(html)) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>t</title><script>'<p>'</script><body><p>x", "x"),
+        ("<head><title>t</title><meta a=b><p>x</p>", "x"),
+        ("<head><title>t</title>plain", "plain"),
+        ("<nav>menu<article><p>x</p></article>", "x"),
+        ("<form><input><main><p>x</p></main>", "x"),
+        ("<aside>open<body><p>x</p>", "x"),
+        ("<div class='content with-sidebar'><p>x</p></div>", "x"),
+        ("<div id='comments-enabled-post'><p>x</p></div>", "x"),
+        ("<article><div class='article-header'><h1>T</h1></div><p>x</p></article>", "T\nx"),
+        ("<div class='site-header'>s</div><p>x</p>", "x"),
+    ],
+)
+def test_ordinary_raw_pages_keep_their_text(html, text):
+    assert "\n".join(t for t, _ in blocks_of(html)) == text
+
+
 def test_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):

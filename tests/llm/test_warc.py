@@ -26,6 +26,11 @@ def test_derivatives_point_to_their_source():
     assert {"title: A & B", "outlink: /x?a=1&b=2", "http-status: HTTP/1.1 200 OK", "http-header-content-type: text/html; charset=utf-8"} <= set(told)
 
 
+def test_a_head_without_its_end_hides_no_text():
+    for page in ("<head><title>t</title><script>'<p>'</script><body><p>x", "<head><meta a=b><p>x</p>", "<head><title>a<b</title>x", "<html><head><title>t</title></head><p>x"):
+        assert warc.plain_text(page) == "x"
+
+
 def test_records_round_trip():
     records = [warc.response(str(i), f"http://h/{i}", HTML * i) for i in range(4)]
     joined = b"".join(records)
