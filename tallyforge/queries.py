@@ -567,6 +567,46 @@ def billing_charges(spark, d):
     return e.groupBy("user_id").agg(F.count("*").alias("charges"), F.sum(F.col("t") - F.expr("(t * p) div 100")).alias("charged"))
 
 
+# The lookups above over every event and every customer's account.
+
+
+def _of_all(name: str) -> str:
+    return _sql[name].replace(_ASKED, "asked AS (SELECT event_id + 1 AS tx_id FROM events UNION ALL SELECT max(event_id) + 1 + 1000000 FROM events)")
+
+
+@register(_sql["balances_batch_lookup"].replace("c_custkey % 700 + 1", "c_custkey"))
+def balances_batch_lookup_all(spark, d):
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("account_id"))
+    return reads.balances(state.balances_by_sum(order_legs(spark, d)), asked)
+
+
+@register(_of_all("tx_batch_lookup"))
+def tx_batch_lookup_all(spark, d):
+    found = reads.transactions(journal_tx(spark, d), journal_entries(spark, d), D.asked_all(spark, d))
+    debited = F.aggregate(F.filter("entries", lambda e: e["seq"] > 0), F.lit(0).cast("long"), lambda a, e: a + e["amount"])
+    return found.select("tx_id", "segment_id", "sub_item_count", debited.alias("debited"))
+
+
+@register(_of_all("tx_status"))
+def tx_status_all(spark, d):
+    return reads.statuses(D.asked_all(spark, d), D.progress(spark, d))
+
+
+@register(_of_all("tx_status_fenced"))
+def tx_status_fenced_all(spark, d):
+    return reads.fenced_statuses(D.asked_all(spark, d).withColumn("asked_term", F.col("tx_id") % 4 * 2), D.progress(spark, d), D.terms(spark, d))
+
+
+@register(_of_all("wait_outcomes"))
+def wait_outcomes_all(spark, d):
+    return reads.wait_outcome(D.asked_all(spark, d).withColumn("asked_term", F.col("tx_id") % 4 * 2), D.progress(spark, d), D.terms(spark, d), "commit")
+
+
+@register(_of_all("term_as_of"))
+def term_as_of_all(spark, d):
+    return reads.term_at(D.asked_all(spark, d), D.terms(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

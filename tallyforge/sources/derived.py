@@ -76,3 +76,9 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to look up: every 37th event and one beyond the end."""
     ids = table(spark, sf_dir, "events").where(number() % 37 == 0).select((number() + 1).alias("tx_id"))
     return ids.unionByName(ids.agg((F.max("tx_id") + 1_000_000).alias("tx_id")))
+
+
+def asked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to look up: every event and one beyond the end."""
+    ids = table(spark, sf_dir, "events").select((number() + 1).alias("tx_id"))
+    return ids.unionByName(ids.agg((F.max("tx_id") + 1_000_000).alias("tx_id")))
