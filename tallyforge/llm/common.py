@@ -1,16 +1,18 @@
-"""What several operators share: the scratch folder, and text columns of Arrow batches seen as NumPy bytes."""
+"""What several operators share: the scratch folder, what a worker keeps, and text columns of Arrow batches seen as NumPy bytes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.scratch import drop_persisted, persist, scratch_dir
+
+__all__ = ["drop_persisted", "persist", "scratch_dir"]
+
 #: Bytes of text handled at once; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
 #: The pattern of a word in all operators: anything but ASCII white space.
@@ -29,29 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of its own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def persist(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the scratch folder as Parquet and read it back: its lineage ends in files that all executors see."""
-    path = f"{scratch_dir(df.sparkSession)}/tallyforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+_kept: dict = {}
 
 
-def drop_persisted(df: DataFrame) -> None:
-    """Delete the files behind persist(); nothing may read df afterwards."""
-    spark, path = df.sparkSession, df._scratch_path
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def keep(key: tuple, make: Callable):
+    """make() once for each key and Python worker; a worker holds the object of one key, that of the operator at work."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def n_words(text: Column) -> Column:
@@ -86,6 +74,12 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def text_runs(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[list[str]]:
+    """The texts of a column as lists of at most limit bytes, or of one longer text; null is empty."""
+    for lo, hi, _, _ in pieces(column, limit):
+        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
 def powers(n: int) -> np.ndarray:
     """The first n powers of an odd number modulo 2^64."""
     global _POWERS
@@ -132,7 +126,3 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = ~white & (before | row_starts(len(buf), off))
     starts, hashes = run_hashes(buf, first, ~white)
     return starts, hashes, np.searchsorted(off, starts, "right") - 1
-
-
-def slices(table_: pa.RecordBatch, schema: pa.Schema, columns: dict[str, list | np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

@@ -4,20 +4,23 @@
    by the number of documents counted in 2^SKETCH_BITS buckets over the whole corpus (a table of fixed size, the only
    thing sent to all executors), then by hash. Any common order gives right results; this one keeps frequent passages
    out of prefixes.
-2. Documents with equal sets are one class; classes with an identical prefix and size are one group.
-3. The prefix of a group (the shortest that must meet the prefix of any partner) is laid out by shingle. Groups that share
-   a prefix shingle and pass the size and position filters are candidates. As components are asked for, two rounds compare
-   the groups of a shingle with one pivot only; the last round expands groups to members and takes every remaining
-   candidate pair whose members are still in different components, once, if their bitmaps and first
-   HEAD shingles leave room for a link. No pair that could join two components is left out, and pairs within a component are never formed.
-4. A candidate pair is verified on the whole sets of its two texts.
-
-Hashes have 64 bits, set signatures 128; nothing else is approximate. Joins by a hot key are between one large and one
-unique side, which adaptive execution splits.
+2. Documents with equal sets are one class, which is numbered; classes with an identical prefix and size are one group.
+3. The prefix of a group (the shortest that must meet the prefix of any partner) is laid out by shingle; shingles of one
+   class alone go. First each group is held against PIVOTS groups of each of its shingles, and each class against the
+   first of its group: that finds most components. Then the groups of a shingle that are not all in one component are
+   joined with each other; a pair of groups passes if sizes, positions and, for groups of one class, parity sketches of
+   64 * MAP_WORDS bits leave room for a link and it has met at none of the last PREVIOUS shingles of both. Only then are
+   groups expanded to classes, where pairs of one component go.
+4. A pair of classes is held against longer parity sketches (two to four bits for each shingle), and what still may link is
+   verified on the whole sets of its two texts. A bit of a sketch is the parity of the shingles that hash to it, so
+   differing bits never exceed differing shingles.
+
+Hashes have 64 bits, set signatures 128; nothing else is approximate. A shingle of many groups is dealt over tasks by
+SPLIT groups; the other joins by hot keys are between two shuffled tables, which adaptive execution splits.
 
 Defined cases: texts without words (or null) have no shingles, link with nothing and are components of their own; with
-fewer than five words the whole sequence is the one shingle; rows that share an id are one document; a null id gets a
-null component. Other columns are not read.
+fewer than five words the whole sequence is the one shingle; rows that share an id are one document, of which each row
+keeps its own number of shingles; a null id gets a null component. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,18 +40,19 @@ SHINGLE = 5
 #: Similarity of a link, as a fraction.
 NUM, DEN = 80, 100
 SKETCH_BITS, BLOCK_BITS = 22, 16
-#: Up to so many candidate documents their ids are broadcast (8 bytes each) to fetch the texts; beyond, texts are shuffled.
+#: Up to so many ids are broadcast (24 bytes each) to fetch or drop rows of documents; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
-STAR_ROUNDS = 2
-#: Of each set so many first shingles, at least its prefix, are kept to bound the intersection of a pair.
-HEAD = 16
-#: Words of 64 bits of a set's bitmap; a bit stands for all shingles that hash to it.
-MAP_WORDS = 16
+PIVOTS = 4
+PREVIOUS = 4
+MAP_WORDS = 8
+#: Groups of a shingle that one task holds against the others.
+SPLIT = 1000
 #: Pairs of texts hashed at once.
 PAIRS = 256
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+SET = ["n", "s1", "s2"]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
@@ -119,134 +123,208 @@ def least_overlap(a: Column, b: Column) -> Column:
     return F.ceil((NUM * (a + b)) / (NUM + DEN))
 
 
+def signs(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit signatures of each set."""
+    found = [((s * MIX[10] ^ s >> np.uint64(31)).sum(dtype=np.uint64), ((s ^ s >> np.uint64(33)) * MIX[11]).sum(dtype=np.uint64)) for s in sets]
+    both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(both[:, k].copy()) for k in range(2)]
+
+
+def parity(s: np.ndarray, m: int = 0) -> bytes:
+    """For each place below m (the least power of two from twice the set's size on): whether an odd number of its shingles hash to it."""
+    m = m or 1 << max(6, (2 * len(s) - 1).bit_length())
+    at = (s * MIX[9] >> np.uint64(32)) & np.uint64(m - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(id, n, s1, s2) of docs (id, text): size and signatures of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(sets_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *signs(sets)], names=["id", *SET])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n int, s1 long, s2 long")
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, p1, p2, head, bits): set size, signatures of set and prefix, the set's first shingles in the common order, its bitmap."""
+    """(id, th, n, s1, s2, g, prefix, odd, bits) of docs (id, th, text) with words: g is a hash of prefix and size, odd and bits are parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sign, heads, maps = [], [], [], []
-            for s in sets_of(batch.column(1)):
-                n.append(len(s))
-                maps.append(np.packbits(np.bincount((s & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) > 0).view(np.int64))
-                size = len(s) - (NUM * len(s) + DEN - 1) // DEN + 1 if len(s) else 0
-                heads.append(s[np.lexsort((s, counts[bucket(s)]))[: max(size, HEAD)]])
-                head = heads[-1][:size]
-                sign.append([x for y in (s, head) for x in ((y * MIX[10] ^ y >> np.uint64(31)).sum(dtype=np.uint64), ((y ^ y >> np.uint64(33)) * MIX[11]).sum(dtype=np.uint64))])
-            signs = np.array(sign, np.uint64).reshape(-1, 4).view(np.int64)
+            where, sets, heads = [], [], []
+            for i, s in enumerate(sets_of(batch.column(2))):
+                if len(s):
+                    where.append(i)
+                    sets.append(s)
+                    heads.append(s[np.lexsort((s, counts[bucket(s)]))[: len(s) - (NUM * len(s) + DEN - 1) // DEN + 1]])
+            of_prefix = np.array([((h ^ h >> np.uint64(33)) * MIX[12]).sum(dtype=np.uint64) for h in heads], np.uint64)
+            groups = (of_prefix + np.array([len(s) for s in sets], np.uint64) * MIX[13]).view(np.int64)
             flat = np.concatenate([*heads, np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)), pa.array(flat))
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.concatenate([*maps, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), *(pa.array(signs[:, k].copy()) for k in range(4)), lists, bits], names=["id", "n", "s1", "s2", "p1", "p2", "head", "bits"])
+            maps = np.frombuffer(b"".join(parity(s, 64 * MAP_WORDS) for s in sets), np.int64)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MAP_WORDS), pa.array(maps))
+            kept = [batch.column(k).take(pa.array(where, pa.int64())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(s) for s in sets], pa.int32()), *signs(sets), pa.array(groups), lists, pa.array(map(parity, sets), pa.binary()), bits], names=["id", "th", *SET, "g", "prefix", "odd", "bits"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, n int, s1 long, s2 long, g long, prefix array<long>, odd binary, bits array<long>")
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two parity sketches differ, the longer one folded to the shorter one's length."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    p, q = 8 * len(x), 8 * len(y)
+    while p > q:
+        p //= 2
+        a = (a >> p) ^ (a & ((1 << p) - 1))
+    while q > p:
+        q //= 2
+        b = (b >> q) ^ (b & ((1 << q) - 1))
+    return (a ^ b).bit_count()
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n int, s1 long, s2 long, p1 long, p2 long, head array<long>, bits array<long>")
 
+def near(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes those that may link by their sizes and parity sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                need = (NUM * (m + n) + NUM + DEN - 1) // (NUM + DEN)
+                fit.append(need <= min(m, n) and differing(x, y) <= m + n - 2 * need)
+            yield batch.filter(pa.array(fit, pa.bool_())).select([0, 1])
+
+    a, b = (members.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "oa", "ob").mapInArrow(run, "a long, b long")
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with whether their whole sets link (ok)."""
+
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets link, from texts (cls, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
             for lo in range(0, len(batch), PAIRS):
-                for x, y in zip(sets_of(batch.column(2).slice(lo, PAIRS)), sets_of(batch.column(3).slice(lo, PAIRS)), strict=True):
+                part, ok = batch.slice(lo, PAIRS), []
+                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
                     both = np.sort(np.concatenate([x, y]))
                     shared = np.count_nonzero(both[1:] == both[:-1])
                     ok.append(shared > 0 and DEN * shared >= NUM * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+                yield part.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    a, b = (texts.select(F.col("cls").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+
 
-    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}, ok boolean")
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
 def fits(an: str, ap: str, bn: str, bp: str) -> Column:
-    """Whether groups of these sizes that share the shingles at these prefix positions can link."""
-    small, large = F.least(F.col(an), F.col(bn)), F.greatest(F.col(an), F.col(bn))
+    """Whether groups of these sizes, the first of whose common shingles has these places in their orders, can link."""
     need = least_overlap(F.col(an), F.col(bn))
-    at_small = F.when(F.col(an) < F.col(bn), F.col(ap)).when(F.col(an) > F.col(bn), F.col(bp)).otherwise(F.least(ap, bp))
-    return (DEN * small >= NUM * large) & (at_small <= small - least_overlap(small, small))
+    return (F.col(ap) <= F.col(an) - need) & (F.col(bp) <= F.col(bn) - need)
 
 
-def enough(shingle: Column) -> Column:
-    """Whether sets of sizes an and bn can link by their bitmaps and first shingles, and meet at no earlier shingle than this.
+def alike(an: str, am: str, bn: str, bm: str) -> Column:
+    """Whether sets of these sizes and sketches can link; a null sketch says nothing."""
+    differ = sum((F.bit_count(F.get(am, F.lit(k)).bitwiseXOR(F.get(bm, F.lit(k)))) for k in range(1, MAP_WORDS)), F.bit_count(F.get(am, F.lit(0)).bitwiseXOR(F.get(bm, F.lit(0)))))
+    return F.coalesce(differ <= F.col(an) + F.col(bn) - 2 * least_overlap(F.col(an), F.col(bn)), F.lit(True))
 
-    Each bit in which the bitmaps am and bm differ is a shingle at least that only one set has. Of shared shingles, those up
-    to the end of the head (ah, bh) that ends first are in both heads; what lies beyond in either bounds the others.
-    """
-    need = least_overlap(F.col("an"), F.col("bn"))
-    differ = sum((F.bit_count(F.get("am", F.lit(k)).bitwiseXOR(F.get("bm", F.lit(k)))) for k in range(1, MAP_WORDS)), F.bit_count(F.get("am", F.lit(0)).bitwiseXOR(F.get("bm", F.lit(0)))))
-    common = F.array_intersect("ah", "bh")
-    beyond = F.greatest(F.col("an") - F.size("ah"), F.col("bn") - F.size("bh"))
-    return (differ <= F.col("an") + F.col("bn") - 2 * need) & ((F.size(common) == 0) | (F.get(common, F.lit(0)) == shingle)) & (F.size(common) + beyond >= need)
+
+def ordered_pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def group_pairs(lists: DataFrame, located: DataFrame) -> DataFrame:
+    """Pairs (ga, gb) of groups that meet at a shingle, can link, and are not in one component, from located (g, lo, hi, bits)."""
+    rows = lists.join(located, "g")
+    mixed = rows.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("k")).where("least < most")
+    order = Window.partitionBy("g", "n").orderBy("pos")  # a prefix
+    open_ = rows.join(mixed.select("shingle", F.ceil(F.col("k") / SPLIT).cast("int").alias("parts")), "shingle")
+    open_ = persist(open_.withColumn("seen", F.array_compact(F.array(*[F.lag("shingle", k).over(order) for k in range(1, PREVIOUS + 1)]))), "jaccard-open")
+    part = F.pmod(F.xxhash64("g", F.lit(5)), F.col("parts")).cast("int")
+    x = open_.select("shingle", part.alias("part"), F.col("g").alias("ga"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("lo").alias("al"), F.col("hi").alias("ah"), F.col("bits").alias("am"), F.col("seen").alias("as_"))
+    y = open_.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("g").alias("gb"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("lo").alias("bl"), F.col("hi").alias("bh"), F.col("bits").alias("bm"), F.col("seen").alias("bs"))
+    apart = ~((F.col("al") == F.col("bh")) & (F.col("ah") == F.col("bl")))
+    met = x.join(y, ["shingle", "part"]).where((F.col("ga") < F.col("gb")) & apart & fits("an", "ap", "bn", "bp") & ~F.arrays_overlap("as_", "bs") & alike("an", "am", "bn", "bm"))
+    out = persist(met.select("ga", "gb").distinct(), "jaccard-group-pairs")
+    drop_persisted(open_)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = document_counts(texts.select("text"))
-    sets = persist(prefixes(texts, counts), "jaccard-sets")
-    full = sets.where("n > 0 AND id IS NOT NULL")
-    same = full.groupBy("n", "s1", "s2").agg(F.min("id").alias("cls"))
-    rows = persist(sets.drop("p1", "p2", "head", "bits").join(same, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("cls", "id").alias("cls")), "jaccard-rows")
-    one_each = same.select("cls", "n", "s1", "s2").join(full.select(F.col("id").alias("cls"), "n", "s1", "s2", "p1", "p2", "head", "bits"), ["cls", "n", "s1", "s2"]).select("cls", "n", "p1", "p2", "head", "bits")
-    members = persist(one_each, "jaccard-classes")
-    drop_persisted(sets)
-    alike = members.groupBy("n", "p1", "p2").agg(F.min("cls").alias("gid"), F.count("*").alias("m"))
-    grouped = persist(members.select("cls", "n", "p1", "p2").join(alike, ["n", "p1", "p2"]).select("cls", "gid", "m"), "jaccard-groups")
-    leaders = grouped.where("cls = gid").select("gid", "m")
-    prefix = F.slice("head", F.lit(1), F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1").cast("int"))
-    listed = members.withColumnRenamed("cls", "gid").join(leaders, "gid").select("gid", "n", "m", F.posexplode(prefix).alias("pos", "shingle"))
-    listed = listed.withColumn("others", F.count("*").over(Window.partitionBy("shingle"))).where("others > 1 OR m > 1")
-    lists = persist(listed.select("shingle", "gid", "n", "pos"), "jaccard-lists")
-
-    wanted = lists.select("gid").distinct().join(grouped, "gid").select(F.col("cls").alias("id"))
-    wanted = persist(wanted, "jaccard-wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    held = persist(texts.join(F.broadcast(wanted) if small else wanted, "id", "left_semi"), "jaccard-texts")
-
-    comp = None
-
-    def settle(pairs: DataFrame) -> None:
-        """Verify pairs and merge the components that their links join."""
-        nonlocal comp
-        checked = persist(verified(pairs, held), "jaccard-links")
-        new = checked.where("ok").select("a", "b")
-        if comp is None:
-            comp = components(new)
-            drop_persisted(checked)
-            return
-        to = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        joined = new.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        merged = components(joined)
-        roots = merged.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        kept = comp.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
-        fresh = merged.join(comp.select("node"), "node", "left_anti").select("node", "comp")
-        comp = persist(kept.unionByName(fresh), "jaccard-comp")
-        drop_persisted(checked)
-
-    settle(grouped.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b")))
-    located = lambda df, key: df.join(comp.select(F.col("node").alias(key), "comp"), key, "left").withColumn("comp", F.coalesce("comp", key))
-    for k in range(STAR_ROUNDS):
-        one = Window.partitionBy("shingle").orderBy(F.xxhash64("gid", F.lit(k), F.col("shingle") % 2), "gid")
-        pivot = F.first(F.struct(F.col("gid").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"))).over(one)
-        near = located(lists, "gid").withColumn("pivot", pivot).select("gid", "n", "pos", "comp", "pivot.*").where((F.col("ac") != F.col("comp")) & fits("an", "ap", "n", "pos"))
-        settle(near.select(F.least("a", "gid").alias("a"), F.greatest("a", "gid").alias("b")).distinct())
-    every = located(lists.join(grouped.select("gid", "cls"), "gid"), "cls")
-    mixed = every.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("shingle")
-    every = every.join(mixed, "shingle").join(members.select("cls", F.slice("head", 1, HEAD).alias("head"), "bits"), "cls")
-    every = persist(every.select("shingle", "cls", "n", "pos", "comp", "head", "bits"), "jaccard-open")
-    x = every.select("shingle", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("pos").alias("ap"), F.col("comp").alias("ac"), F.col("head").alias("ah"), F.col("bits").alias("am"))
-    y = every.select("shingle", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("comp").alias("bc"), F.col("head").alias("bh"), F.col("bits").alias("bm"))
-    rest = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & fits("an", "ap", "bn", "bp") & enough(x["shingle"]))
-    settle(rest.select("a", "b").distinct())
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "cls"))
-    return rows.join(comp.select(F.col("node").alias("cls"), "comp"), "cls", "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = persist(sized(texts.select("id", "text")), "jaccard-rows")
+    found = prefixes(texts.where("id IS NOT NULL"), document_counts(texts.select("text")))
+    same = found.groupBy(*SET).agg(F.min(F.struct("id", "th")).alias("rep"), *[F.first(c).alias(c) for c in ("g", "prefix", "odd", "bits")])
+    members = persist(same.withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    laid = members.select("g", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    met = laid.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    lists = persist(laid.join(met, "shingle").distinct(), "jaccard-lists")
+
+    groups = persist(members.groupBy("g").agg(F.min("cls").alias("first"), F.count("*").alias("m")), "jaccard-groups")
+    others = members.select("cls", "g").join(groups.where("m > 1"), "g").where("cls <> first").select(*ordered_pair("cls", "first"))
+    pivots = lists.groupBy("shingle").agg(F.array(*[F.min_by(F.struct(F.col("g").alias("gb"), F.col("n").alias("bn"), F.col("pos").alias("bp")), F.xxhash64("g", F.lit(k))) for k in range(PIVOTS)]).alias("with"))
+    star = lists.join(pivots, "shingle").select("g", "n", "pos", F.inline("with")).where((F.col("g") != F.col("gb")) & fits("n", "pos", "bn", "bp")).select("g", "gb").distinct()
+    leads = [groups.select(F.col("g").alias(k), F.col("first").alias(f"of_{k}")) for k in ("g", "gb")]
+    star = star.join(leads[0], "g").join(leads[1], "gb").select(*ordered_pair("of_g", "of_gb"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        close = persist(near(pairs.distinct(), members), "jaccard-near")
+        nodes = close.select(F.col("a").alias("cls")).unionByName(close.select(F.col("b").alias("cls"))).distinct()
+        wanted = persist(members.select("cls", "rep.id", "rep.th").join(nodes, "cls"), "jaccard-wanted")
+        fetched = texts.join(few(wanted), ["id", "th"]).groupBy("cls").agg(F.first("text").alias("text"))  # repeated rows are one
+        held = persist(fetched, "jaccard-texts")
+        out = persist(linked(close, held), "jaccard-links")
+        for x in (close, wanted, held):
+            drop_persisted(x)
+        return out
+
+    edges = links(others.unionByName(star))
+    comp = components(edges.unionByName(of_one_id(rows, members)))
+    at = persist(members.select("cls", "g", "rep", "bits").join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "jaccard-located")
+    located = at.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    pairs = group_pairs(lists, located)
+    inside = located.where("lo < hi").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
+    of = [at.select(F.col("g").alias(f"g{k}"), F.col("cls").alias(f"c{k}"), F.col("comp").alias(f"r{k}")) for k in "ab"]
+    expanded = pairs.unionByName(inside).join(of[0], "ga").join(of[1], "gb").where("ra <> rb AND (ga <> gb OR ca < cb)")
+    rest = links(expanded.select(*ordered_pair("ca", "cb")))
+    to = [at.select(F.col("cls").alias(k), F.col("comp").alias(f"r{k}")) for k in "ab"]
+    merged = components(rest.join(to[0], "a").join(to[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    at_last = at.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("cls", "rep", F.coalesce("root", "comp").alias("comp"))
+    lowest = persist(at_last.groupBy("comp").agg(F.min("rep.id").alias("component_id")), "jaccard-lowest")
+    named = persist(members.select(*SET, "cls").join(at_last.join(lowest, "comp").select("cls", "component_id"), "cls").drop("cls"), "jaccard-named")
+    for x in (edges, comp, merged, rest, at, lowest, pairs, lists, groups, members):
+        if hasattr(x, "_scratch_path"):
+            drop_persisted(x)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return rows.join(named, SET, "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def of_one_id(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes to which rows of one id belong."""
+    own = rows.where("n > 0 AND id IS NOT NULL").withColumn("set", F.struct(*SET))
+    several = own.groupBy("id").agg(F.min("set").alias("one"), F.max("set").alias("last")).where("one <> last").select("id", "one")
+    pairs = own.join(several, "id").where("set <> one").select("one", "set").distinct()
+    number = [members.select(F.struct(*SET).alias(c), F.col("cls").alias(k)) for c, k in (("one", "a"), ("set", "b"))]
+    return pairs.join(number[0], "one").join(number[1], "set").select("a", "b")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one stays for each component: that with the smallest id. Rows without an id all stay."""
-    found = classes(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep"))
-    return docs.join(found, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col]).unionAll(docs.where(F.col(id_col).isNull()))
+    """The rows of docs of which one stays for each component: that with the smallest id.
+
+    Of rows that repeat this id the one with the smallest hash of all columns stays. Rows without an id all stay.
+    """
+    found = persist(classes(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(id_col) == F.col("component_id")).alias("_first")), "jaccard-found")
+    each = found.groupBy("_id").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
+    odd = few(persist(each.where("NOT _first OR _rows > 1"), "jaccard-odd"))  # ids that go, or whose rows are more than one
+    alone = docs.join(odd, F.col(id_col) == F.col("_id"), "left_anti")
+    repeated = docs.join(odd.where("_first"), F.col(id_col) == F.col("_id"), "left_semi")
+    one = repeated.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return alone.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -115,3 +115,36 @@ def test_components(spark):
     expected = {k: 1 for k in (1, 2, 3, 10, 11, 12)} | {20: 20, 21: 20} | {100 + i: 100 for i in range(71)} | {500 + i: 500 for i in range(41)}
     assert got == expected
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_repeated_ids_collapse_and_one_id_joins_its_texts(spark):
+    rng = random.Random(3)
+    base = words(rng, 60)
+    a, b = " ".join(base), " ".join([*base[:-1], "end"])
+    other = " ".join(words(rng, 40))
+    rows = [(1, a)] * 40 + [(2, b)] * 40 + [(7, a), (7, other), (5, other), (9, " ".join(words(rng, 30)))]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.classes(df).collect())
+    assert got == {(1, 1): 40, (2, 1): 40, (7, 1): 2, (5, 1): 1, (9, 9): 1}
+    kept = jaccard.distinct_documents(df).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 9] and next(r.text for r in kept if r.doc_id == 1) == a
+
+
+def test_parity_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        both, own, other = (rng.integers(0, 1 << 63, rng.integers(0, 300), dtype=np.uint64) for _ in range(3))
+        a, b = np.unique(np.concatenate([both, own])), np.unique(np.concatenate([both, other]))
+        assert jaccard.differing(jaccard.parity(a), jaccard.parity(b)) <= len(np.setxor1d(a, b))
+
+
+def test_shingles_of_many_groups_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SPLIT", 7)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    rng = random.Random(12)
+    base = words(rng, 70)
+    rows = [near(rng, base, rng.randrange(0, 9)) for _ in range(120)] + [near(rng, words(rng, 50), 1) for _ in range(40)]
+    check(spark, [(i, " ".join(r)) for i, r in enumerate(rows)])
