@@ -1,8 +1,9 @@
 """URL filters: explicit host and path rules, and a path-template tree for what they leave.
 
-Per host, paths become templates: segments with a digit are variable; under each parent a level with more than VARIABLE
-different segments becomes one wildcard, but for segments with ENOUGH labels whose share of good ones differs from that of
-their siblings. From the deepest level up, sibling branches whose share of good labelled pages
+Per host, paths become templates: segments with a digit are variable. From the first level down, the segments under a parent
+become one wildcard if they vary: if by the Good-Turing estimate, the share of pages whose segment no other page has, the
+next page would bring a new segment in at least NEW_SHARE of cases. Segments with ENOUGH labels whose share of good ones
+differs from that of their siblings stay out of the wildcard. From the deepest level up, sibling branches whose share of good labelled pages
 does not differ from that of the other siblings at SIMILAR standard errors are merged. A template's purity is its
 share of good labels, smoothed by PRIOR pages of the overall share; below MIN_PURITY it is blocked.
 
@@ -10,7 +11,8 @@ All of it is grouping and joining with DataFrame functions: pages are first summ
 hot host is one row for each of its templates.
 
 Defined cases: a null url or one without ``://`` has an empty host and path; templates without labels get the overall
-purity; segments beyond DEPTH count as one; without any label nothing is blocked by the tree; repeated rows are judged
+purity; paths may have any number of segments, and levels below the last that two paths share are left as they are; without
+any label nothing is blocked by the tree; repeated rows are judged
 alike.
 """
 
@@ -23,8 +25,7 @@ from tallyforge.llm.common import drop_persisted, persist, table
 
 #: (host, path prefix, verdict); a rule holds for its host and all subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DEPTH = 6
-VARIABLE = 20
+NEW_SHARE = 0.5
 ENOUGH = 5
 SIMILAR = 1.96
 PRIOR = 10.0
@@ -52,9 +53,8 @@ def by_rules(rules, host: Column, path: Column) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> Column:
-    """The path's segments, with a wildcard for those that hold a digit; from DEPTH on they are one."""
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), F.lit(WILD)).otherwise(s))
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1_000_000), "/"))))
+    """The path's segments, with a wildcard for those that hold a digit."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), F.lit(WILD)).otherwise(s))
 
 
 def _at(depth: int) -> tuple[Column, Column]:
@@ -63,7 +63,7 @@ def _at(depth: int) -> tuple[Column, Column]:
 
 
 def _replaced(depth: int, by: str) -> Column:
-    return F.concat(F.slice("t", 1, depth - 1), F.array(F.lit(by)), F.slice("t", F.lit(depth + 1), F.lit(DEPTH)))
+    return F.concat(F.slice("t", 1, depth - 1), F.array(F.lit(by)), F.slice("t", F.lit(depth + 1), F.size("t")))
 
 
 def _step(tree: DataFrame, changed: DataFrame, on: list[str], depth: int, by: str) -> DataFrame:
@@ -71,32 +71,33 @@ def _step(tree: DataFrame, changed: DataFrame, on: list[str], depth: int, by: st
     parent, seg = _at(depth)
     keyed = tree.withColumns({"parent": F.when(F.size("t") >= depth, parent), "seg": F.when(F.size("t") >= depth, seg)})
     out = keyed.join(changed.withColumn("yes", F.lit(True)), on, "left").withColumn("t", F.when(F.col("yes"), _replaced(depth, by)).otherwise(F.col("t")))
-    out = persist(out.select("host", "lexical", "t", "good", "bad"), "url-tree")
+    out = persist(out.select("host", "lexical", "t", "pages", "good", "bad"), "url-tree")
     drop_persisted(tree)
     return out
 
 
 def _children(tree: DataFrame, depth: int) -> DataFrame:
-    """Segments of a level, with the number of siblings, the labels of each and of its siblings, and whether their shares are alike."""
-    children = tree.where(F.size("t") >= depth).groupBy("host", *_at(depth)).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    rest = children.groupBy("host", "parent").agg(F.sum("g").alias("gs"), F.sum("b").alias("bs"), F.count("*").alias("n"))
+    """Segments of a level, with the number of siblings and whether they vary, the labels of each and of its siblings, and whether their shares are alike."""
+    children = tree.where(F.size("t") >= depth).groupBy("host", *_at(depth)).agg(F.sum("pages").alias("p"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    varied = F.count_if(F.col("p") == 1) >= NEW_SHARE * F.sum("p")
+    rest = children.groupBy("host", "parent").agg(F.sum("g").alias("gs"), F.sum("b").alias("bs"), F.count("*").alias("n"), varied.alias("varied"))
     n, m = F.col("g") + F.col("b"), F.col("gs") + F.col("bs")
     others, p = m - n, F.col("gs") / F.greatest(m, F.lit(1))
     error = F.sqrt(p * (1 - p) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
     apart = F.abs(F.col("g") / F.greatest(n, F.lit(1)) - (F.col("gs") - F.col("g")) / F.greatest(others, F.lit(1)))
-    return children.join(rest, ["host", "parent"]).select("host", "parent", "seg", "n", n.alias("labels"), others.alias("others"), (apart <= SIMILAR * error).alias("alike"))
+    return children.join(rest, ["host", "parent"]).select("host", "parent", "seg", "n", "varied", n.alias("labels"), others.alias("others"), (apart <= SIMILAR * error).alias("alike"))
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(host, lexical, template, purity) from pages (page_id, host, path) and labels (page_id, good)."""
     lexical = pages.select("page_id", "host", F.array_join(segments(F.col("path")), "/").alias("lexical"))
-    seen = lexical.join(labels, "page_id", "left").groupBy("host", "lexical").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    tree = persist(seen.withColumn("t", F.when(F.col("lexical") == "", F.array().cast("array<string>")).otherwise(F.split("lexical", "/", DEPTH))).select("host", "lexical", "t", "good", "bad"), "url-tree")
-    deepest = min(DEPTH, tree.agg(F.max(F.size("t"))).first()[0] or 0)
-    for depth in range(1, deepest + 1):
-        children = _children(tree, depth)
+    seen = lexical.join(labels, "page_id", "left").groupBy("host", "lexical").agg(F.count("*").alias("pages"), F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    tree = persist(seen.withColumn("t", F.when(F.col("lexical") == "", F.array().cast("array<string>")).otherwise(F.split("lexical", "/"))).select("host", "lexical", "t", "pages", "good", "bad"), "url-tree")
+    deepest = 0
+    while not tree.where(F.size("t") > deepest).groupBy("host", _at(deepest + 1)[0]).count().where("count > 1").isEmpty():
+        deepest += 1
         own = (F.col("labels") >= ENOUGH) & (F.col("others") > 0) & ~F.col("alike")
-        tree = _step(tree, children.where((F.col("n") > VARIABLE) & ~own).select("host", "parent", "seg"), ["host", "parent", "seg"], depth, WILD)
+        tree = _step(tree, _children(tree, deepest).where((F.col("n") > 1) & F.col("varied") & ~own).select("host", "parent", "seg"), ["host", "parent", "seg"], deepest, WILD)
     for depth in range(deepest, 0, -1):
         similar = (F.col("n") > 1) & ((F.col("labels") == 0) | (F.col("others") == 0) | F.col("alike"))
         tree = _step(tree, _children(tree, depth).where(similar).select("host", "parent", "seg"), ["host", "parent", "seg"], depth, MERGED)

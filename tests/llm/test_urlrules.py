@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +106,73 @@ def test_labels_of_pages(spark):
     labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 1, 1), (10, 1, None), (10, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r.good for r in urlrules.page_labels(pages, labels).where(F.col("page_id").isNotNull()).collect()}
     assert got == {1: True, 2: False, 3: False, 6: True}
+
+
+def test_tree_against_plain_python(spark):
+    """Wildcards, merges and purities of random paths, each step by loops over all pages."""
+    rng = random.Random(3)
+    rows = []
+    for host in ("h", "k"):
+        for _ in range(160):
+            first = rng.choice(["news", "blog", "shop", "spam", f"u{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"])
+            path = [first, *(rng.choice(["a", "b", "1", f"x{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"]) for _ in range(rng.randrange(0, 9)))]
+            label = None if rng.random() < 0.4 else rng.random() < (0.1 if first == "spam" else 0.9)
+            rows.append((host, "/".join(path), label))
+    lexical = [(h, tuple("*" if re.search("[0-9]", s) else s for s in p.split("/")), g) for h, p, g in rows]
+    now = {(h, t): list(t) for h, t, _ in lexical}
+
+    def level(d):
+        groups = {}
+        for h, t, g in lexical:
+            x = now[h, t]
+            if len(x) >= d:
+                child = groups.setdefault((h, tuple(x[: d - 1])), {}).setdefault(x[d - 1], [0, 0, 0])
+                child[0] += 1
+                child[1] += g is True
+                child[2] += g is False
+        return groups
+
+    def alike(child, kids):
+        n, good = child[1] + child[2], sum(c[1] for c in kids.values())
+        m = sum(c[1] + c[2] for c in kids.values())
+        others, p = m - n, good / max(m, 1)
+        error = (p * (1 - p) * (1 / max(n, 1) + 1 / max(others, 1))) ** 0.5
+        return n, others, abs(child[1] / max(n, 1) - (good - child[1]) / max(others, 1)) <= urlrules.SIMILAR * error
+
+    def change(d, groups, what, by):
+        picked = {(key, s) for key, kids in groups.items() for s, c in kids.items() if what(c, kids)}
+        for (h, _), x in now.items():
+            if len(x) >= d and ((h, tuple(x[: d - 1])), x[d - 1]) in picked:
+                x[d - 1] = by
+
+    def wild(c, kids):
+        n, others, same = alike(c, kids)
+        varied = sum(k[0] == 1 for k in kids.values()) >= urlrules.NEW_SHARE * sum(k[0] for k in kids.values())
+        return len(kids) > 1 and varied and not (n >= urlrules.ENOUGH and others and not same)
+
+    def merge(c, kids):
+        n, others, same = alike(c, kids)
+        return len(kids) > 1 and (not n or not others or same)
+
+    d = 0
+    while any(n > 1 for n in Counter((h, tuple(x[:d])) for (h, _), x in now.items() if len(x) > d).values()):
+        d += 1
+        change(d, level(d), wild, "*")
+    for k in range(d, 0, -1):
+        change(k, level(k), merge, "~")
+    sums = {}
+    for h, t, g in lexical:
+        s = sums.setdefault((h, "/".join(now[h, t])), [0, 0])
+        s[0] += g is True
+        s[1] += g is False
+    share = sum(s[0] for s in sums.values()) / sum(sum(s) for s in sums.values())
+    pages = spark.createDataFrame([(i, f"http://{h}/{p}", "", "") for i, (h, p, _) in enumerate(rows)], PAGES)
+    labels = spark.createDataFrame([(i, g) for i, (_, _, g) in enumerate(rows) if g is not None], LABELS)
+    got = {r.page_id: r for r in urlrules.judge(pages, labels).collect()}
+    for i, (h, t, _) in enumerate(lexical):
+        template = "/".join(now[h, t])
+        good, bad = sums[h, template]
+        purity = (good + urlrules.PRIOR * share) / (good + bad + urlrules.PRIOR)
+        assert got[i].template == template and got[i].purity == pytest.approx(purity)
+        assert got[i].verdict == ("block" if purity < urlrules.MIN_PURITY else "allow")
+    assert len({r.template for r in got.values()}) > 5
