@@ -47,16 +47,56 @@ RAW = frozenset("script style textarea".split())
 HEAD = frozenset("head title meta link base script style noscript template".split())
 #: A class, an id or a role that names something other than the article.
 OTHERS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget site-header site-footer site-nav main-nav main-menu nav-menu comment-list comments-list comments-area comment-section cookie-banner cookie-notice ad-banner ad-container ad-slot share-buttons social-share social-links related-posts related-articles newsletter-signup".split())
+#: What ends an element without article text that is never closed.
+BEGINS = frozenset("body article main section h1 h2 h3 h4 h5 h6 p".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 
+#: Elements that end where one of others starts, unless one of the last is nearer.
+IMPLIED = (
+    (("p",), BLOCKS - {"br"}, BLOCKS - {"p"}),
+    (("li",), frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
+    (("dt", "dd"), frozenset(["dt", "dd"]), frozenset(["dl"])),
+    (("td", "th"), frozenset(["td", "th", "tr"]), frozenset(["table"])),
+    (("tr",), frozenset(["tr"]), frozenset(["table"])),
+    (("option",), frozenset(["option"]), frozenset(["select"])),
+)
+
+
+def events_of(page: str) -> tuple[list[tuple[str, bool, str, str]], set[int]]:
+    """Of each tag of a page the text before it, whether it closes, its name and attributes; and which opening ones never close."""
+    out: list[tuple[str, bool, str, str]] = []
+    waiting: dict[str, list[int]] = {}
+    at, raw = 0, ""
+    for m in TOKEN.finditer(page):
+        close, name = bool(m[1]), (m[2] or "").lower()
+        text = "" if raw else page[at : m.start()]
+        at = m.end()
+        if raw and not (close and name == raw):
+            continue
+        raw = name if name in RAW and not close else ""
+        if name and name not in VOID:
+            if not close:
+                waiting.setdefault(name, []).append(len(out))
+            elif waiting.get(name):
+                waiting[name].pop()
+        out.append((text, close, name, m[3] or ""))
+    out.append(("" if raw else page[at:], True, "", ""))
+    return out, {i for found in waiting.values() for i in found}
+
 
 def blocks_of(page: str) -> list[tuple[str, bool]]:
-    """The blocks of a page that can be article text, and whether each stands in an article or main element."""
+    """The blocks of a page that can be article text, and whether each stands in an article or main element.
+
+    Elements are kept on a stack: a p, li, td and the like ends where HTML implies it, a head at the first thing that cannot
+    stand in it, and an element without article text that is never closed at the next thing of BEGINS.
+    """
+    events, never = events_of(page)
     out: list[tuple[str, bool]] = []
     held: list[str] = []
-    at, inside, skip, depth = 0, 0, "", 0
+    stack: list[tuple[str, bool, bool]] = []  # name, whether it has no article text, whether that is so and it never closes
+    inside = dropped = 0
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
@@ -64,55 +104,58 @@ def blocks_of(page: str) -> list[tuple[str, bool]]:
             out.append((text, inside > 0))
         held.clear()
 
-    raw = inner = ""
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        close, name = m[1], (m[2] or "").lower()
-        if skip == "head" and not raw and not inner and page[at : m.start()].strip():
-            skip = ""  # text ends a head
-        if not raw and not skip and m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
+    def cut(k: int, upto: int | None = None) -> None:
+        """Take the elements from k on off the stack, or those from k up to upto."""
+        nonlocal inside, dropped
+        for name, drop, _ in stack[k:upto]:
+            dropped -= drop
+            inside -= name in ("article", "main")
+        del stack[k:upto]
+
+    def nearest(names: tuple[str, ...], stops) -> int:
+        """Place of the innermost open element of these names, -1 if there is none or one of stops is nearer."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                return k
+            if stack[k][0] in stops:
+                return -1
+        return -1
+
+    for i, (text, close, name, attributes) in enumerate(events):
+        if text:
+            if stack and stack[-1][0] == "head" and text.strip():
+                cut(len(stack) - 1)
+            if not dropped:
+                held.append(text)
         if not name:
             continue
-        if raw:
-            if close and name == raw:
-                raw = ""
-            else:
-                continue
-        if skip == "head" and not close and name not in HEAD or skip not in ("", "template") and not close and name in ("body", "article", "main"):
-            skip, depth, inner = "", 0, ""  # an element that was never closed ends where the body or the article begins
-        if skip:
-            if skip == "head" and name in ("title", "noscript", "template"):
-                inner = "" if close else name
-            if name == skip:
-                depth += -1 if close else 1
-                if depth <= 0:
-                    skip = ""
-                continue
-            else:
-                if name in RAW and not close:
-                    raw = name
-                continue
-        if name in BLOCKS:
-            flush()
+        block = name in BLOCKS
         if close:
-            if name in ("article", "main"):
-                inside = max(0, inside - 1)
+            if block:
+                flush()
+            k = nearest((name,), ())
+            if k >= 0:
+                crossed = not block and name not in DROPPED and any(n in BLOCKS for n, _, _ in stack[k + 1 :])
+                cut(k, k + 1 if crossed else None)
             continue
+        if block:
+            flush()
         if name in VOID:
             continue
-        named = {w for found in NAMES.findall(m[3]) for w in "".join(found).lower().split() if not (inside and w == "header")} if m[3].strip() else ()
-        if name in RAW:
-            raw = name
-        if name in DROPPED or (name == "header" and not inside) or (named and not OTHERS.isdisjoint(named) and name not in ("html", "body", "article", "main")):
+        if name not in HEAD and (k := nearest(("head",), ())) >= 0:
+            cut(k)
+        for names, starts, stops in IMPLIED:
+            if name in starts and (k := nearest(names, stops)) >= 0:
+                cut(k)
+        if name in BEGINS and (k := next((k for k, e in enumerate(stack) if e[2]), -1)) >= 0:
+            cut(k)
+        named = {w for found in NAMES.findall(attributes) for w in "".join(found).lower().split() if not (inside and w == "header")} if attributes.strip() else ()
+        drop = name in DROPPED or (name == "header" and not inside) or (bool(named) and not OTHERS.isdisjoint(named) and name not in ("html", "body", "main"))
+        if drop:
             flush()
-            skip, depth = name, 1
-        elif name in ("article", "main"):
-            inside += 1
-    if not raw and (not skip or (skip == "head" and not inner)):
-        held.append(page[at:])
+        stack.append((name, drop, drop and i in never))
+        dropped += drop
+        inside += name in ("article", "main")
     flush()
     return out
 

@@ -49,6 +49,16 @@ def test_blocks(html, text):
         ("<div id='comments-enabled-post'><p>x</p></div>", "x"),
         ("<article><div class='article-header'><h1>T</h1></div><p>x</p></article>", "T\nx"),
         ("<div class='site-header'>s</div><p>x</p>", "x"),
+        ("<article><p>Body one</p></article><div id=comments><article class=comment>reader says</article></div>", "Body one"),
+        ("<article><p>Body one</p><article class=comment>reader says</article><p>two</p></article>", "Body one\ntwo"),
+        ("<article>a</article><div class=related><article>teaser</article></div><p>b</p>", "a\nb"),
+        ("<article><p class=ad>Buy<p>Real text one</p><p>Real two</p></article>", "Real text one\nReal two"),
+        ("<article><h1 class='article-header'>T</h1><p class='menu-of-the-day'>Soup</p></article>", "T\nSoup"),
+        ("<ul><li class=ad>Buy<li>one<ul><li>two</ul><li>three</ul>", "one\ntwo\nthree"),
+        ("<article><div class=ad>Buy<p>one</p><p>two</p></article>", "one\ntwo"),
+        ("<aside><article>teaser</article></aside><article>own</article>", "own"),
+        ("<b>bold<p>one</b> more</p><p>two", "bold\none more\ntwo"),
+        ("<table><tr><td class=ad>Buy<td>cell<tr><td>next</table>", "cell\nnext"),
     ],
 )
 def test_ordinary_raw_pages_keep_their_text(html, text):
@@ -159,3 +169,40 @@ def test_pages_match_a_plain_reading(spark, tiny):
         reader.feed(pages[r.page_id] or "")
         reader.close()
         assert r.text == "\n".join(reader.out) and r.n_chars == len(r.text)
+
+
+def test_pages_without_article_against_brute_force(spark, monkeypatch):
+    """Pairing by URL, alignment and deletion by plain Python on the blocks of each page."""
+    monkeypatch.setattr(extract, "BLOCK", 5)
+    rng, rows = random.Random(11), []
+    for host in ("a", "b", "c"):
+        for k in range(rng.randrange(15, 40)):
+            section = k // 6
+            own = [f"{host} {k} {i} {rng.random()}" for i in range(rng.randrange(0, 4))]
+            lines = ["Home", f"Section {section}", *own, rng.choice(["Also read", "Subscribe now"]), "Imprint"]
+            if rng.random() < 0.2:
+                lines = ["Home", "Out of order", "Imprint"]
+            rows.append((len(rows), f"http://{host}/{section:02}/{k:03}", lines))
+    order = sorted(rows, key=lambda r: r[1])
+
+    def lcs(a, b):
+        best = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + (a[i],) if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j], key=len)
+        return best[-1][-1]
+
+    want = {}
+    for at, (i, url, lines) in enumerate(order):
+        gone = set()
+        for step in (-1, 1):
+            k = at + step
+            while 0 <= k < len(order) and order[k][2] == lines:
+                k += step
+            if 0 <= k < len(order) and order[k][1][:9] == url[:9]:
+                found = lcs(lines, order[k][2])
+                if not (len(found) in (len(lines), len(order[k][2])) and len(found) > 1):
+                    gone |= set(found)  # lines of a page differ from each other
+        want[i] = "\n".join(x for x in lines if x not in gone)
+    got = run(spark, [(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, u, lines in rows])
+    assert {i: r.text for i, r in got.items()} == want
