@@ -1,29 +1,38 @@
 """Sharding by size-tiered compaction, with DataFrame functions alone.
 
-A store is a folder: ``data/<generation>`` with immutable Parquet shards, ``manifest/v=<n>`` with one row per live shard
-(path, tier, bytes, rows) and the folder's ``_SUCCESS`` as the commit. ``append`` writes arrivals as small shards without
-a shuffle, ``compact`` merges shards of one tier (sizes within a factor RATIO) in runs of about the target size, and each
-ends by writing the next version of the manifest. That write fails if the version is there already, and a version without
-``_SUCCESS`` is no version, so readers see either all of a change or nothing, and a lost executor or driver leaves only
-files that no manifest names. ``vacuum`` deletes those.
+A store is a folder: ``data/<generation>`` with immutable Parquet shards, ``manifest/<generation>`` with one row per live
+shard (path, tier, bytes, rows), and ``commits/<version>``, a small file that names a manifest. ``append`` writes arrivals as
+small shards without a shuffle, ``compact`` merges shards of one tier (sizes within a factor RATIO) in runs of about the
+target size. Both write data and manifest first and then publish the commit under the next number, which only one writer
+can do: by a rename that fails if the file is there (on a local file system by a hard link, which is exclusive). A writer
+that comes second goes by the newer version: an append adds its shards to that one, a merge is committed if all the shards
+it replaces are still live and planned anew otherwise. Readers see all of a change or nothing. What a lost driver or
+executor leaves behind is named by no commit and hinders nobody. ``vacuum`` deletes files that none of the last versions
+names and that are older than any write could be.
 
 A run is a set of shards cut by the running sum of their bytes, so every merged shard is one task of about the target size;
-no group grows with the data. The manifest is the only thing summed in one order: one row per shard, within its tier.
+no group grows with the data. The manifest is the only thing summed in one order: one row per shard, within its tier. Like
+any table's file list, the paths of the shards to read go through the driver; rows never do.
 
 Defined cases: an empty arrival commits a version without new shards; a shard larger than the target stays as it is;
-a tier with fewer than FANOUT shards waits; nulls, long texts and repeated rows are kept as they come.
+a tier with fewer than FANOUT shards waits; nulls, long texts and repeated rows are kept as they come; rows may have
+columns of any names.
 """
 
 from __future__ import annotations
 
+import os
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import scratch_dir, table
 
-TARGET_BYTES = 128 << 20
+#: Compressed bytes of a full shard; a loader reads shards whole.
+TARGET_BYTES = 32 << 20
 RATIO = 4
 FANOUT = 4
 #: Shards are kept for long and read often.
@@ -33,6 +42,8 @@ TASKS_PER_RUN = 4
 #: Rows of an arriving shard, at most.
 SMALL_ROWS = 50_000
 ARRIVALS = 3
+#: Versions that stay readable, and the age in seconds below which no file is deleted.
+KEEP_VERSIONS, GRACE = 10, 86_400
 SHARD = "path string, tier int, bytes long, rows long"
 
 
@@ -44,23 +55,56 @@ class ShardStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(f"{self.root}/{folder}")
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def versions(self) -> list[int]:
+        """The committed versions, ascending."""
+        return sorted(int(n) for n in self._names("commits") if n.isdigit())
+
     def version(self) -> int:
         """The last committed version, 0 before the first."""
-        fs, at = self._fs(f"{self.root}/manifest")
-        if not fs.exists(at):
-            return 0
-        names = [x.getPath().getName() for x in fs.listStatus(at)]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(self._fs(f"{self.root}/manifest/{n}/_SUCCESS")[1])]
-        return max(done, default=0)
+        return max(self.versions(), default=0)
+
+    def _generation(self, version: int) -> str:
+        """The manifest that a commit names."""
+        return self.spark.read.text(f"{self.root}/commits/{version:012d}").first()[0]
 
     def manifest(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
-        return self.spark.read.schema(SHARD).parquet(f"{self.root}/manifest/v={v}") if v else self.spark.createDataFrame([], SHARD)
-
-    def _commit(self, shards: DataFrame, based_on: int) -> int:
-        """Write the manifest after the one a change was based on; fails if another writer was first."""
-        shards.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/manifest/v={based_on + 1}")
-        return based_on + 1
+        return self.spark.read.schema(SHARD).parquet(f"{self.root}/manifest/{self._generation(v)}") if v else self.spark.createDataFrame([], SHARD)
+
+    def _publish(self, generation: str, version: int) -> bool:
+        """Make a manifest the given version, unless that version is there."""
+        fs, draft = self._fs(f"{self.root}/commits/draft-{uuid.uuid4().hex}")
+        _, final = self._fs(f"{self.root}/commits/{version:012d}")
+        out = fs.create(draft)
+        out.write(bytearray(generation.encode()))
+        out.close()
+        try:
+            if fs.getScheme() == "file":
+                os.link(draft.toUri().getPath(), final.toUri().getPath())
+            else:
+                jvm = self.spark._jvm
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+                never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(draft, final, never)
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        finally:
+            fs.delete(draft, False)
+
+    def _commit(self, shards: DataFrame, based_on: int) -> bool:
+        """Write the manifest after the one a change was based on; False if another writer was first."""
+        generation = uuid.uuid4().hex
+        shards.coalesce(1).write.parquet(f"{self.root}/manifest/{generation}")
+        return self._publish(generation, based_on + 1)
 
     def _written(self, folder: str) -> DataFrame:
         """Manifest rows of the shards in a folder, from the files themselves."""
@@ -69,30 +113,41 @@ class ShardStore:
         return found.select("path", tier_of(F.col("bytes"), self.target).alias("tier"), "bytes", "rows")
 
     def append(self, arrivals: DataFrame) -> int:
-        folder, based_on = f"{self.root}/data/{uuid.uuid4().hex}", self.version()
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", self.small_rows).option("compression", CODEC).parquet(folder)
-        return self._commit(self.manifest(based_on).unionByName(self._written(folder)), based_on)
+        while True:
+            based_on = self.version()
+            if self._commit(self.manifest(based_on).unionByName(self._written(folder)), based_on):
+                return based_on + 1
 
     def compact(self) -> int:
         """Merge until no tier below the target has FANOUT shards."""
         while True:
-            based_on = self.version()
-            live = self.manifest(based_on)
+            live = self.manifest(planned_on := self.version())
             runs = self.runs(live)
             n = runs.select("run").distinct().count()
             if not n:
-                return based_on
+                return planned_on
             folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            rows = self._rows(runs).join(runs.select(F.col("path").alias("_shard"), F.col("run").alias("_run")), "_shard").drop("_shard")
-            rows.repartition(TASKS_PER_RUN * n, "_run").sortWithinPartitions("_run").write.partitionBy("_run").option("compression", CODEC).parquet(folder)
-            self._commit(live.join(runs.select("path"), "path", "left_anti").unionByName(self._written(folder)), based_on)
-
-    def _rows(self, shards: DataFrame) -> DataFrame:
-        """Rows of the generations (one folder for each append or merge) that hold these shards, with their file as _shard."""
-        folders = [r[0] for r in shards.select(F.regexp_extract("path", r"^(.*?/data/[^/]+)/.*$", 1)).distinct().collect()]
-        if not folders:
+            rows, shard = self._rows(runs)
+            run = free("_run", rows.columns)
+            rows = rows.join(runs.select(F.col("path").alias(shard), F.col("run").alias(run)), shard).drop(shard)
+            rows.repartition(TASKS_PER_RUN * n, run).sortWithinPartitions(run).write.partitionBy(run).option("compression", CODEC).parquet(folder)
+            while True:
+                live = self.manifest(based_on := self.version())
+                if not runs.join(live, "path", "left_anti").isEmpty():
+                    break  # another merge has replaced some of these shards; the merged files stay unnamed
+                if self._commit(live.join(runs.select("path"), "path", "left_anti").unionByName(self._written(folder)), based_on):
+                    break
+
+    def _rows(self, shards: DataFrame) -> tuple[DataFrame, str]:
+        """Rows of these shards, and the name of the column that holds their file."""
+        paths = [r[0] for r in shards.select("path").collect()]
+        if not paths:
             raise ValueError("the store is empty")
-        return self.spark.read.option("recursiveFileLookup", "true").parquet(*folders).withColumn("_shard", F.col("_metadata.file_path"))
+        rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*paths)
+        shard = free("_shard", rows.columns)
+        return rows.withColumn(shard, F.col("_metadata.file_path")), shard
 
     def runs(self, live: DataFrame) -> DataFrame:
         """(path, run): which shards are merged with which; a run has two shards at least."""
@@ -104,18 +159,41 @@ class ShardStore:
         return cut.select("path", F.concat_ws("-", "tier", "run").alias("run"))
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All live rows, each with its shard's file, tier, bytes and rows under reserved names."""
+        """All live rows, each with its shard's file, tier, bytes and rows as _shard, _tier, _bytes and _rows."""
         live = self.manifest(version)
-        return self._rows(live).join(live.select(F.col("path").alias("_shard"), F.col("tier").alias("_tier"), F.col("bytes").alias("_bytes"), F.col("rows").alias("_rows")), "_shard")
-
-    def vacuum(self) -> int:
-        """Delete the data folders that the last manifest does not name; returns how many."""
-        live = {r[0] for r in self.manifest().select(F.regexp_extract("path", r"/data/([^/]+)/", 1)).distinct().collect()}
-        fs, at = self._fs(f"{self.root}/data")
-        gone = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName() not in live] if fs.exists(at) else []
-        for path in gone:
-            fs.delete(path, True)
-        return len(gone)
+        rows, shard = self._rows(live)
+        told = {c: free(f"_{c}", rows.columns) for c in ("tier", "bytes", "rows")}
+        return rows.join(live.select(F.col("path").alias(shard), *[F.col(c).alias(name) for c, name in told.items()]), shard)
+
+    def vacuum(self, keep_versions: int = KEEP_VERSIONS, grace: float = GRACE) -> int:
+        """Forget versions but for the last ones and those younger than grace, and delete what no other version names and is as old; returns how many data folders."""
+        before = time.time() - grace
+        fs, at = self._fs(f"{self.root}/commits")
+        old = {int(x.getPath().getName()): x.getPath() for x in (fs.listStatus(at) if fs.exists(at) else []) if x.getPath().getName().isdigit() and x.getModificationTime() / 1000 <= before}
+        goes = set(old) - set(self.versions()[-keep_versions:])
+        kept = [v for v in self.versions() if v not in goes]
+        manifests = {self._generation(v) for v in kept}
+        folders: set[str] = set()
+        for v in kept:
+            folders |= {r[0] for r in self.manifest(v).select(F.regexp_extract("path", r"/data/([^/]+)/", 1)).distinct().collect()}
+        for v in goes:
+            fs.delete(old[v], False)
+        gone = 0
+        for folder, named in (("data", folders), ("manifest", manifests)):
+            fs, at = self._fs(f"{self.root}/{folder}")
+            for x in fs.listStatus(at) if fs.exists(at) else []:
+                if x.getPath().getName() not in named and x.getModificationTime() / 1000 <= before:
+                    fs.delete(x.getPath(), True)
+                    gone += folder == "data"
+        return gone
+
+
+def free(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def tier_of(size, target: int):
@@ -126,11 +204,11 @@ def tier_of(size, target: int):
 def op10(spark, sf_dir: str) -> DataFrame:
     """documents in ARRIVALS arrivals, appended, compacted and read back: each row's shard by number, with its size and tier."""
     docs = table(spark, sf_dir, "documents")
-    store = ShardStore(spark, f"{scratch_dir(spark)}/tallyforge/shards-{uuid.uuid4().hex}", target_bytes=32 << 20)
+    store = ShardStore(spark, f"{scratch_dir(spark)}/tallyforge/shards-{uuid.uuid4().hex}")
     for k in range(ARRIVALS):
         store.append(docs.where(F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(ARRIVALS)) == k))
     version = store.compact()
-    store.vacuum()
+    store.vacuum(keep_versions=1, grace=0)  # nobody else writes or reads this store
     rows = store.read(version)
     shard = F.regexp_extract("_shard", "/data/(.*)$", 1)
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), shard.alias("shard"), F.col("_tier").alias("tier"), F.col("_bytes").alias("shard_bytes"), F.col("_rows").alias("shard_rows"), F.lit(version).alias("version"))
