@@ -86,23 +86,33 @@ def test_repeated_rows(spark):
     assert {r.vec_id for r in got} == {1}
 
 
-@pytest.mark.parametrize("spread", [0.0, 2.0])
-def test_carried_bar_loses_no_neighbour(spread):
-    """Blocks met one after the other with the bar of those before give what all vectors at once give."""
-    rng, dim, k = np.random.default_rng(5), 16, 4
-    v = rng.standard_normal((600, dim)) * np.exp(spread * rng.standard_normal((600, 1)))
-    v[300:320] = v[7]  # ties across blocks
-    ids, queries = np.arange(600), v[::20]
-    length = np.sqrt((v * v).sum(1))
-    turned = (v / length[:, None]) @ ann.rotation(dim).T
-    c, bits = np.abs(turned).sum(1) / np.sqrt(dim), np.packbits(turned > 0, axis=1)
-    best, rows = np.full((len(queries), k), -np.inf), []
-    for lo in range(0, 600, 150):
-        x = slice(lo, lo + 150)
-        q, at, s = ann.best_of(ids[::20], queries, ids[x], v[x], bits[x], length[x], c[x], k, best[:, -1])
-        best = ann.raised(best, q, s)
-        rows += zip(q.tolist(), (-s).tolist(), (lo + at).tolist(), strict=True)
-    want = brute([(i, x) for i, x in enumerate(v)], ids[::20], k)
-    hits = [len({i for _, _, i in sorted(r for r in rows if r[0] == n)[:k]} & {i for i, _ in want[q]}) for n, q in enumerate(ids[::20].tolist())]
-    assert np.mean(hits) / k >= 0.98
-    assert all(len([r for r in rows if r[0] == n]) >= k for n in range(len(queries)))
+def test_estimates_from_packed_bits_stay_within_their_errors():
+    rng = np.random.default_rng(5)
+    for dim in (16, 64, 700):
+        v, q = rng.standard_normal((2000, dim)), rng.standard_normal((20, dim))
+        words, length, c = ann.codes_of(v)
+        assert words.shape == (2000, max(512, -(-dim // 64) * 64) // 64)
+        signs = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little") * 2.0 - 1
+        ones = np.bitwise_count(words).sum(1, dtype=np.int32)
+        for x in q:
+            x = x / np.sqrt((x * x).sum())
+            turned = ann.rotation(dim) @ x
+            asked = ann.Asked(turned)
+            got = asked.estimates(np.ascontiguousarray(words.T), ones, c)
+            plain = signs @ turned / (np.sqrt(signs.shape[1]) * c)
+            assert np.abs(got - plain).max() < 8 * asked.step
+            off = np.abs(got - (v / length[:, None]) @ x) / ann.errors(c, signs.shape[1], asked.step)
+            assert np.mean(off < 3) > 0.98
+
+
+def test_a_common_vector_and_several_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(ann, "VECTOR_BLOCK", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 9)
+    rng = np.random.default_rng(2)
+    rows = [(i, np.full(8, 0.5, np.float32)) for i in range(500)] + [(500 + i, rng.standard_normal(8).astype(np.float32)) for i in range(100)] + [(700 + i, rng.standard_normal(5).astype(np.float32)) for i in range(40)]
+    df = frame(spark, rows)
+    got = found(ann.nearest(df, df.where("vec_id % 20 = 0"), k=6))
+    want = brute([r for r in rows if len(r[1]) == 8], [i for i in range(0, 600, 20)], 6) | brute([r for r in rows if len(r[1]) == 5], [700, 720], 6)
+    assert got.keys() == want.keys()
+    assert all(got[q] == want[q] for q in range(0, 500, 20))
+    assert np.mean([len(set(got[q]) & set(want[q])) / 6 for q in want]) >= 0.9
