@@ -1,8 +1,8 @@
 """Quality rules: counting rules, then a calibrated logistic regression over hashed word and character n-grams.
 
 Features of a text are the shares of its hashed word 1- and 2-grams and character 3- and 4-grams, each family adding up
-to SCALE. Weights are learned on a bounded sample of labelled rows (``sample`` rows with the smallest id hash), a quarter
-of which is set aside to fit the two numbers of Platt's calibration. Scoring maps Arrow batches and needs no shuffle.
+to SCALE. Weights are learned on a bounded sample of labelled documents (``sample`` labels with the smallest id hash; of
+rows that share an id, the smallest text), a quarter of which is set aside to fit the two numbers of Platt's calibration. Scoring maps Arrow batches and needs no shuffle.
 
 Defined cases: a null or empty text has no words, so base_failed is true and kept false; texts of any length are read
 whole; without labels of both classes there is no model, quality is null and the counting rules alone decide. Repeated
@@ -179,9 +179,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     """A model from at most ``sample`` labelled rows; None when one of the classes is missing."""
     spark = docs.sparkSession
     chosen = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col("quality") == 1).alias("good"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "good").limit(sample)
+    chosen = chosen.distinct().orderBy(F.xxhash64("_id"), "_id", "good").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    rows = rows.select("good", (F.xxhash64("_id", F.lit(7)) % 4 == 0).alias("part"), "text").limit(2 * sample)
+    rows = rows.groupBy("_id", "good").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id"), "_id", "good")
+    rows = rows.select("good", (F.xxhash64("_id", F.lit(7)) % 4 == 0).alias("part"), "text")
     got = rows.mapInArrow(features, "good boolean, part boolean, buckets binary, values binary").toArrow()
     good, aside = np.array(got.column("good").to_pylist(), bool), np.array(got.column("part").to_pylist(), bool)
     if good.all() or not good.any():
