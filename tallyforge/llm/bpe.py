@@ -4,8 +4,8 @@ Each match of the split pattern is a word. Over the byte positions of a word sta
 smallest (pair rank, position) below them, so its root is the leftmost pair of minimum rank; a merge updates the leaves of
 the merged pair and of its live left neighbour and their ancestors, which is logarithmic in the word's length. Words of
 up to WIDE bytes are merged many at a time, each in a tree of its own with one NumPy step for all of them; longer ones one
-by one. A worker keeps the ids of the
-chunks between spaces it met, up to CACHE_WORDS, then starts anew: memory is bounded.
+by one. A worker keeps the ids of the chunks between spaces it met, up to about CACHE_BYTES, then starts anew; texts are
+taken in runs of PIECE_BYTES, so that memory is bounded by these two and the longest text.
 
 Mapping Arrow batches needs no shuffle. Defined cases: a null text is empty and has no ids; texts and words may be of any
 length; repeated rows are encoded alike; other columns are not read.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +24,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import keep, table, text_runs
 
 WIDE = 32
-CACHE_WORDS = 1_000_000
+CACHE_BYTES = 32 << 20
+#: What a chunk takes besides its characters and ids: a string, a number and its place in the table of chunks.
+CHUNK_BYTES = 160
 NONE = np.int64(1) << np.int64(40)
-#: Characters of text encoded at once.
-PIECE_CHARS = 1 << 20
 #: Two white characters in a row, one of them a space perhaps.
 double_white = re.compile(r"\s\s").search
-_coders: dict[tuple[str, str], Coder] = {}
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -63,6 +63,7 @@ class Coder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.filled, self.n_known = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+        self.cached = 0
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, NONE where the two make no token; an id below 0 is none."""
@@ -196,16 +197,17 @@ class Coder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the offsets of each."""
-        if self.n_known > CACHE_WORDS:
+        if self.cached > CACHE_BYTES:
             self.forget()
         known = self.known
         keys = [self.chunked(t) for t in texts]
         new = {k for of in keys for k in of if k not in known}
         if new:
             listed = sorted(new)
-            before = self.n_known
+            before, filled = self.n_known, self.filled
             self.learn([k[:-1] if k and k[-1] == " " else " " + k for k in listed])
             known.update(zip(listed, range(before, self.n_known), strict=True))
+            self.cached += sum(map(sys.getsizeof, listed)) + CHUNK_BYTES * len(listed) + 8 * (self.filled - filled)
         at = np.array([known[k] for of in keys for k in of], np.int64)
         ids, ends = gather(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
         return ids, ends[np.concatenate([[0], np.cumsum([len(of) for of in keys], dtype=np.int64)])]
@@ -237,21 +239,7 @@ class Ragged:
 
 def coder(path: str, pattern: str) -> Coder:
     """One coder for each vocabulary and Python worker."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
-
-
-def text_runs(texts: list[str | None], limit: int = PIECE_CHARS) -> Iterator[list[str]]:
-    held, total = [], 0
-    for t in texts:
-        held.append(t or "")
-        total += len(held[-1])
-        if total >= limit:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+    return keep(("bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def encode_decode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -262,7 +250,7 @@ def encode_decode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id
         c = coder(path, pattern)
         for batch in batches:
             counts, ids_sha, text_sha, lists = [], [], [], []
-            for texts in text_runs(batch.column(1).to_pylist()):
+            for texts in text_runs(batch.column(1)):
                 ids, off = c.encode(texts)
                 raw, ends = c.decode(ids)
                 told, marks = c.decimals.joined(ids)

@@ -2,12 +2,14 @@
 
 For each language, a suffix automaton of a bounded piece of labelled text. A text is parsed against it from left to
 right into longest matches; the language with the fewest phrases, normalised to bits by the logarithm of its training
-length, wins (ties: the smallest code). Texts are lower-cased, every run of non-letters counts as one space, and they are
-parsed in segments of SEGMENT symbols, all of them, side by side in NumPy: a segment end adds at most one phrase for
-every language alike.
+length, wins (ties: the smallest code). Texts are lower-cased and every run of non-letters counts as one space. A text is
+one parse from its first to its last symbol. To parse many at once in NumPy it is laid out in segments, each first parsed
+from the start state; then every segment is parsed anew from the state that its predecessor ended in, until the two
+parses meet, which they do soon, or else into the next segment.
 
-Learning reads only text and lang of documents that are not held out: per language the DOCS rows with the smallest id
-hash, up to DOC_SYMBOLS symbols of each and TRAIN_SYMBOLS in all. Everything else covers whole texts.
+Learning reads only text and lang of documents that are not held out: per language at most DOCS whole rows, those with
+the smallest id hash among texts of up to COMMON characters (longer ones only if there are too few), as long as they have
+TRAIN_CHARS characters together (the first in any case). Everything else covers all rows.
 
 Defined cases: a null text or one without letters gives ``und`` and score 0, as does every text when nothing could be
 learned. The score is the best language's share when each further phrase halves the odds.
@@ -22,18 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import is_held_out, table
+from tallyforge.llm.common import is_held_out, keep, table, text_runs
 
-DOCS, DOC_SYMBOLS, TRAIN_SYMBOLS = 96, 1500, 40_000
+DOCS, COMMON, TRAIN_CHARS = 48, 2000, 48_000
+#: Symbols of a segment; the result does not depend on it.
 SEGMENT = 256
-#: Symbols of text parsed at once.
-PIECE_SYMBOLS = 1 << 20
 UND = "und"
 #: Documents below this score are rejected by the filter.
 MIN_SCORE = 0.3
 
 SPACE, FIRST = 0, 1
-_parsers: dict[tuple, Parser] = {}
 
 
 def lowered() -> np.ndarray:
@@ -127,66 +127,83 @@ class Parser:
             at += int(k) * SEGMENT
         used = np.ascontiguousarray(grid.reshape(lanes, SEGMENT).T)
         of = np.repeat(np.arange(len(texts)), counts)
+        ends = np.cumsum(counts) - 1
+        first = np.zeros(lanes + 1, bool)
+        first[np.append(ends - counts + 1, lanes)] = True
         out = np.zeros((len(texts), len(self.tables)))
         for j, step in enumerate(self.tables):
-            state, ended = np.zeros(lanes, step.dtype), np.zeros(lanes, np.int32)
-            for row in used:
-                state += row
-                got = step.take(state)
-                ended += got & 3
-                state = got >> 2
-            ended += state > 0
-            out[:, j] = np.bincount(of, ended, len(texts))
+            ended, state = parsed(step, used, first)
+            out[:, j] = np.bincount(of, ended, len(texts)) + (state[ends] > 0)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Names and scores of one run of texts."""
         names, scores = [UND] * len(texts), np.zeros(len(texts))
-        if not self.tables:
+        held = [(i, s) for i, text in enumerate(texts) if text and len(s := self.symbols(text))]
+        if not held or not self.tables:
             return names, scores
-        held: list[tuple[int, np.ndarray]] = []
-        total = 0
-        for i, text in enumerate([*texts, None]):
-            if text and len(s := self.symbols(text)):
-                held.append((i, s))
-                total += len(s)
-            if held and (total >= PIECE_SYMBOLS or i == len(texts)):
-                cost = self.phrases([s for _, s in held]) * (np.array(self.bits) / max(self.bits))
-                best = cost.argmin(1)
-                share = 1 / np.exp2(np.maximum(cost.min(1)[:, None] - cost, -60)).sum(1)
-                for (k, _), b, p in zip(held, best, share, strict=True):
-                    names[k], scores[k] = self.names[b], p
-                held, total = [], 0
+        cost = self.phrases([s for _, s in held]) * (np.array(self.bits) / max(self.bits))
+        best = cost.argmin(1)
+        share = 1 / np.exp2(np.maximum(cost.min(1)[:, None] - cost, -60)).sum(1)
+        for (k, _), b, p in zip(held, best, share, strict=True):
+            names[k], scores[k] = self.names[b], p
         return names, scores
 
 
+def parsed(step: np.ndarray, used: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end in each segment (a column of used), and the state after it; first marks the segments that begin a text."""
+    n = used.shape[1]
+    path = np.empty(used.shape, step.dtype)
+    state, ended = np.zeros(n, step.dtype), np.zeros(n, np.int32)
+    for t, row in enumerate(used):
+        state += row
+        got = step.take(state)
+        ended += got & 3
+        state = got >> 2
+        path[t] = state
+    begun, end = np.zeros(n, step.dtype), path[-1]
+    todo = np.flatnonzero(~first[:n])
+    while len(todo):
+        todo = todo[end[todo - 1] != begun[todo]]
+        now, then = end[todo - 1], begun[todo]
+        begun[todo] = now
+        for t, row in enumerate(used):
+            if not len(todo):
+                break
+            symbols = row[todo]
+            got, had = step.take(now + symbols), step.take(then + symbols)
+            ended[todo] += (got & 3) - (had & 3)
+            now, then = got >> 2, had >> 2
+            path[t, todo] = now
+            apart = now != then
+            todo, now, then = todo[apart], now[apart], then[apart]
+        todo = todo + 1
+        todo = todo[~first[todo]]
+    return ended, end
+
+
 def parser(training: tuple[tuple[str, str], ...]) -> Parser:
     """One parser for each training text and Python worker."""
-    if training not in _parsers:
-        _parsers.clear()
-        _parsers[training] = Parser(training)
-    return _parsers[training]
+    return keep(("langid", training), lambda: Parser(training))
 
 
 def learn(docs: DataFrame, n_docs: int = DOCS, id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
     """Per language, in the order of codes, its folded training text."""
-    ids = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull() & ~is_held_out(F.col(id_col)))
-    ids = ids.select("lang", F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_h"))
-    chosen = ids.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_id"))).where(F.col("_n") <= n_docs).select(F.col("lang").alias("_lang"), "_id", "_h")
-    rows = docs.join(F.broadcast(chosen.select("_lang", "_id", "_h").distinct()), (F.col(id_col) == F.col("_id")) & (F.col("lang") == F.col("_lang")))
-    rows = rows.select("_lang", "_h", F.substring("text", 1, 4 * DOC_SYMBOLS).alias("text")).toPandas().sort_values(["_lang", "_h", "text"])
-    letters, out = lowered(), []
-    for lang, group in rows.groupby("_lang"):
-        parts, left = [], TRAIN_SYMBOLS
-        for text in group["text"].drop_duplicates():
-            s = folded(text, letters)[: min(DOC_SYMBOLS, left)]
-            if len(s):
-                parts.append(np.where(s == 0, 32, s).astype(np.uint32).tobytes().decode("utf-32-le"))
-                left -= len(s) + 1
-            if left <= 0:
-                break
-        if parts:
-            out.append((str(lang), " ".join(parts)))
-    return tuple(sorted(out))
+    able = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull() & ~is_held_out(F.col(id_col)))
+    size = F.char_length("text")
+    able = able.select("lang", F.xxhash64("text").alias("_t"), F.struct(size > COMMON, F.xxhash64(id_col), F.col(id_col), F.xxhash64("text")).alias("_order"), size.alias("_size"))
+    ranked = able.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_order"))).where(F.col("_n") <= n_docs)
+    upto = F.sum("_size").over(Window.partitionBy("lang").orderBy("_n"))  # n_docs rows a language
+    chosen = ranked.withColumn("_upto", upto).where((F.col("_upto") <= TRAIN_CHARS) | (F.col("_n") == 1)).groupBy("lang", "_t").agg(F.min("_n").alias("_n"))
+    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("_t"), F.col("_n"))
+    same = (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_t"))
+    rows = docs.where(~is_held_out(F.col(id_col))).join(F.broadcast(chosen), same).groupBy("_lang", "_n").agg(F.min("text").alias("text"))
+    letters, out = lowered(), {}
+    for row in sorted(rows.collect(), key=lambda r: (r["_lang"], r["_n"])):
+        s = folded(row["text"], letters)
+        if len(s):
+            out.setdefault(str(row["_lang"]), []).append(np.where(s == 0, 32, s).astype(np.uint32).tobytes().decode("utf-32-le"))
+    return tuple((lang, " ".join(parts)) for lang, parts in sorted(out.items()))
 
 
 def identify(docs: DataFrame, training: tuple[tuple[str, str], ...], id_col: str = "doc_id", keep_from: float | None = None) -> DataFrame:
@@ -197,7 +214,8 @@ def identify(docs: DataFrame, training: tuple[tuple[str, str], ...], id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(training)
         for batch in batches:
-            names, scores = p.predict(batch.column(at).to_pylist())
+            found = [p.predict(texts) for texts in text_runs(batch.column(at))]
+            names, scores = [n for part, _ in found for n in part], np.concatenate([np.zeros(0), *(part for _, part in found)])
             if keep_from is not None:
                 yield batch.filter(pa.array([n != UND and s >= keep_from for n, s in zip(names, scores, strict=True)], pa.bool_()))
             else:
