@@ -41,44 +41,3 @@ def format_key(key: Column) -> Column:
 
 def is_function_name(name: Column) -> Column:
     return name.rlike("^[A-Za-z][A-Za-z0-9_]{0,31}$")
-
-
-def minimal_int(value: int) -> bytes:
-    """Shortest little-endian two's complement of a number."""
-    size = max(1, (value.bit_length() + 8) // 8)
-    return value.to_bytes(size, "little", signed=True)
-
-
-def from_minimal_int(raw: bytes) -> int:
-    return int.from_bytes(raw, "little", signed=True)
-
-
-# Fixed values of the packed form: a type byte holds the kind in its high three bits and the length less one below; 0 ends.
-KIND_INT, KIND_CONST = 1, 2
-KEY_BYTES, VALUE_BYTES = 30, 9
-
-
-def pack(parts: list[int | tuple[str, int]], limit: int = KEY_BYTES) -> bytes:
-    """A key or value in packed form; a part is an int, or ("const", id)."""
-    out = b""
-    for p in parts:
-        kind, raw = (KIND_INT, minimal_int(p)) if isinstance(p, int) else (KIND_CONST, p[1].to_bytes(max(1, (p[1].bit_length() + 7) // 8), "little"))
-        out += bytes([kind << 5 | len(raw) - 1]) + raw
-    if len(out) > limit:
-        raise ValueError(f"{len(out)} bytes, more than {limit}")
-    return out.ljust(limit, b"\0")
-
-
-def unpack(raw: bytes) -> list[int | tuple[str, int]]:
-    out, at = [], 0
-    while at < len(raw) and raw[at]:
-        kind, size = raw[at] >> 5, (raw[at] & 31) + 1
-        body = raw[at + 1 : at + 1 + size]
-        if kind == KIND_INT:
-            out.append(from_minimal_int(body))
-        elif kind == KIND_CONST:
-            out.append(("const", int.from_bytes(body, "little")))
-        else:
-            raise ValueError(f"kind {kind}")
-        at += 1 + size
-    return out

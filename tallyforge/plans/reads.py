@@ -175,3 +175,7 @@ def first_after(tx: DataFrame, watermark: int) -> DataFrame:
     return tx.where(F.col("tx_id") > watermark).agg(F.min("tx_id").alias("tx_id"))
 
 
+def opened(tx: DataFrame, opens: DataFrame) -> DataFrame:
+    """What each OpenAccount transaction gave: its range, or 0 and 0 where it failed."""
+    found = tx.where("tag = 'OPENACC'").join(opens.select("tx_id", "begin_account_id", "count"), "tx_id", "left")
+    return found.select("tx_id", "fail_reason", F.coalesce("begin_account_id", F.lit(0)).alias("begin_account_id"), F.coalesce("count", F.lit(0)).alias("count"))

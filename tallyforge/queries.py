@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.flags import get_flag, set_flag
-from tallyforge.functions.text import format_key, parse_key
+from tallyforge import schemas as S
+from tallyforge.functions.flags import get_flag, is_failure, is_success, is_user_defined, set_flag
+from tallyforge.functions.text import decode_tag, encode_tag, format_key, function_tag, parse_key
 from tallyforge.operators import programs
 from tallyforge.operators.dedup import duplicates
 from tallyforge.operators.fold import execute, layout, open_ranges
-from tallyforge.operators.sequencing import sequence
+from tallyforge.operators.sequencing import sequence, sequence_batches
 from tallyforge.plans import audits, checkpoints, metrics, reads, state
 from tallyforge.sources import derived as D
 from tallyforge.sources import ndjson
@@ -74,7 +75,7 @@ e AS (
 b AS (SELECT *, (sum(CASE WHEN kind = 'DEBIT' THEN amount ELSE -amount END) OVER (PARTITION BY account_id ORDER BY tx_id, seq ROWS UNBOUNDED PRECEDING))::BIGINT AS computed_balance FROM e)"""
 _TERMS = "terms AS (SELECT event_id // 1000 + 1 AS term, min(event_id) + 1 AS start_tx_id FROM events GROUP BY 1)"
 _VOTES = "votes AS (SELECT DISTINCT t AS term, t % 3 AS voted_for FROM (SELECT event_id // 1000 + 1 AS t FROM events UNION ALL SELECT event_id // 1000 + 2 FROM events) WHERE t % 3 <> 0)"
-_ASKED = "asked AS (SELECT event_id + 1 AS tx_id FROM events WHERE event_id % 37 = 0 UNION ALL SELECT max(event_id) + 1 + 1000000 FROM events WHERE event_id % 37 = 0)"
+_ASKED = "asked AS (SELECT event_id + 1 AS tx_id FROM events UNION ALL SELECT max(event_id) + 1 + 1000000 FROM events)"
 _PROGRESS = "p AS (SELECT max(event_id) + 1 AS sequence, max(event_id) - 99 AS compute, max(event_id) - 299 AS commit, max(event_id) - 599 AS snapshot FROM events)"
 _STATUS = "CASE WHEN tx_id < 1 OR tx_id > sequence THEN 'NotFound' WHEN tx_id <= snapshot THEN 'OnSnapshot' WHEN tx_id <= commit THEN 'Committed' WHEN tx_id <= compute THEN 'Computed' ELSE 'Pending' END"
 _SAMPLES = f"""
@@ -252,9 +253,9 @@ def truncation_plan(spark, d):
 # Reads.
 
 
-@register(f"WITH {_LEGS}, b AS (SELECT account_id, sum(CASE WHEN kind = 'DEBIT' THEN amount ELSE -amount END)::BIGINT AS balance FROM legs GROUP BY 1) SELECT c_custkey AS pos, c_custkey % 700 + 1 AS account_id, COALESCE(balance, 0)::BIGINT AS balance FROM customer LEFT JOIN b ON account_id = c_custkey % 700 + 1")
+@register(f"WITH {_LEGS}, b AS (SELECT account_id, sum(CASE WHEN kind = 'DEBIT' THEN amount ELSE -amount END)::BIGINT AS balance FROM legs GROUP BY 1) SELECT c_custkey AS pos, c_custkey AS account_id, COALESCE(balance, 0)::BIGINT AS balance FROM customer LEFT JOIN b ON account_id = c_custkey")
 def balances_batch_lookup(spark, d):
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), (F.col("c_custkey") % 700 + 1).alias("account_id"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("account_id"))
     return reads.balances(state.balances_by_sum(order_legs(spark, d)), asked)
 
 
@@ -567,44 +568,155 @@ def billing_charges(spark, d):
     return e.groupBy("user_id").agg(F.count("*").alias("charges"), F.sum(F.col("t") - F.expr("(t * p) div 100")).alias("charged"))
 
 
-# The lookups above over every event and every customer's account.
+# The same lookups by the names they had when the shorter ones asked for fewer ids.
+for _name in ("balances_batch_lookup", "tx_batch_lookup", "tx_status", "tx_status_fenced", "wait_outcomes", "term_as_of"):
+    _queries[f"{_name}_all"], _sql[f"{_name}_all"] = _queries[_name], _sql[_name]
 
 
-def _of_all(name: str) -> str:
-    return _sql[name].replace(_ASKED, "asked AS (SELECT event_id + 1 AS tx_id FROM events UNION ALL SELECT max(event_id) + 1 + 1000000 FROM events)")
+# Sequencing, registration, codes and the remaining reads.
 
 
-@register(_sql["balances_batch_lookup"].replace("c_custkey % 700 + 1", "c_custkey"))
-def balances_batch_lookup_all(spark, d):
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_custkey").alias("account_id"))
-    return reads.balances(state.balances_by_sum(order_legs(spark, d)), asked)
+@register("SELECT event_id, row_number() OVER (ORDER BY event_id // 7, event_id) + 100 AS tx_id FROM events")
+def sequenced_batches(spark, d):
+    batches = table(spark, d, "events").groupBy(F.floor(F.col("event_id") / 7).alias("batch")).agg(F.array_sort(F.collect_list("event_id")).alias("ops"))  # seven at most
+    return sequence_batches(batches, ["batch"], 100).select(F.col("op_row").alias("event_id"), "tx_id")
 
 
-@register(_of_all("tx_batch_lookup"))
-def tx_batch_lookup_all(spark, d):
-    found = reads.transactions(journal_tx(spark, d), journal_entries(spark, d), D.asked_all(spark, d))
-    debited = F.aggregate(F.filter("entries", lambda e: e["seq"] > 0), F.lit(0).cast("long"), lambda a, e: a + e["amount"])
-    return found.select("tx_id", "segment_id", "sub_item_count", debited.alias("debited"))
+_FN = f"""
+fn AS (SELECT event_id + 1 AS tx_id, CASE WHEN user_id % 13 = 0 THEN '9f' || (user_id % 50) ELSE 'f_' || (user_id % 50) END AS name, CASE WHEN {_K} % 5 = 0 THEN 0 ELSE {_K} + 1 END AS crc32c FROM events),
+v AS (SELECT *, (sum(CASE WHEN crc32c <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY tx_id))::INT AS version FROM fn WHERE regexp_full_match(name, '[A-Za-z][A-Za-z0-9_]{{0,31}}'))"""
+
+
+@register(f"WITH {_FN} SELECT tx_id, name, crc32c, version FROM v")
+def function_versions(spark, d):
+    return programs.function_versions(D.fn_events(spark, d))
+
+
+@register(f"WITH {_FN}, l AS (SELECT name, arg_max(version, tx_id) AS version, arg_max(crc32c, tx_id) AS crc32c FROM v GROUP BY 1) SELECT name, version, crc32c FROM l WHERE crc32c <> 0")
+def functions_live(spark, d):
+    return state.functions(programs.function_versions(D.fn_events(spark, d)))
+
+
+@register(f"WITH {_FN} SELECT name, arg_max(version, tx_id) AS version, arg_max(crc32c, tx_id) AS crc32c FROM v GROUP BY 1")
+def functions_recovered(spark, d):
+    return state.functions(programs.function_versions(D.fn_events(spark, d)), live_only=False)
+
+
+@register("SELECT DISTINCT event_type, rpad(hex(encode(event_type[:8])), 16, '0') AS raw, event_type[:8] AS tag FROM events")
+def tag_codec(spark, d):
+    raw = encode_tag(F.col("event_type"))
+    return table(spark, d, "events").select("event_type").distinct().select("event_type", F.hex(raw).alias("raw"), decode_tag(raw).alias("tag"))
+
+
+@register(f"WITH {_FN} SELECT DISTINCT crc32c, '666E770A' || format('{{:08X}}', crc32c) AS tag FROM fn")
+def function_tags(spark, d):
+    return D.fn_events(spark, d).select("crc32c").distinct().select("crc32c", F.hex(function_tag(F.col("crc32c"))).alias("tag"))
+
+
+@register("SELECT event_id + 1 AS tx_id, user_id % 256 AS reason, user_id % 256 = 0 AS success, user_id % 256 <> 0 AS failure, user_id % 256 BETWEEN 128 AND 255 AS user_defined FROM events")
+def fail_reason_kinds(spark, d):
+    r = F.col("reason")
+    rows = table(spark, d, "events").select((F.col("event_id") + 1).alias("tx_id"), (F.col("user_id") % 256).alias("reason"))
+    return rows.select("tx_id", "reason", is_success(r).alias("success"), is_failure(r).alias("failure"), is_user_defined(r).alias("user_defined"))
+
+
+@register(f"WITH {_OPENS} SELECT tx_id, 0::INT AS fail_reason, begin_account_id, count FROM opens")
+def opened_read_back(spark, d):
+    ops = D.open_ops(spark, d)
+    null = lambda c, t: F.lit(None).cast(t).alias(c)
+    done = execute(ops.select("tx_id", F.lit("OpenAccount").alias("op"), null("account", "long"), null("from", "long"), null("to", "long"), null("amount", "long"), "count", null("fn_name", "string"), null("params", "array<long>"), "user_ref"))
+    return reads.opened(done.tx, done.opens)
+
+
+@register(f"WITH {_JOURNAL} SELECT tx_id, seq, kind, account_id, amount, computed_balance FROM entries WHERE tx_id IN (SELECT tx_id FROM legs WHERE account_id = 1000000007)")
+def account_history_whole(spark, d):
+    own = reads.account_history(SUPPLIERS_FROM + 7, order_legs(spark, d))
+    return reads.transactions(journal_tx(spark, d), journal_entries(spark, d), own).select("tx_id", F.inline("entries"))
+
+
+@register("SELECT id, name FROM (SELECT row_number() OVER (ORDER BY min(event_id)) AS id, event_type AS name FROM events GROUP BY 2) WHERE name = 'purchase'")
+def constant_lookup(spark, d):
+    return reads.constant(D.named_constants(spark, d), "purchase")
 
 
-@register(_of_all("tx_status"))
-def tx_status_all(spark, d):
-    return reads.statuses(D.asked_all(spark, d), D.progress(spark, d))
+@register(f"WITH {_SAMPLES} SELECT at_ms, node_idx, compute - 20 AS tx_id, CASE WHEN compute - 20 <= snapshot THEN 'Snapshot' WHEN compute - 20 <= cluster_commit THEN 'Committed' WHEN compute - 20 <= compute THEN 'Computed' ELSE 'Pending' END AS stage FROM samples")
+def stage_shown(spark, d):
+    return metrics.stage_of(D.samples(spark, d).withColumn("tx_id", F.col("compute") - 20)).select("at_ms", "node_idx", "tx_id", "stage")
+
+
+@register(f"WITH {_JOURNAL} SELECT min(tx_id) AS tx_id FROM tx WHERE tx_id > 4321")
+def segment_first_after(spark, d):
+    return reads.first_after(journal_tx(spark, d), 4321)
+
+
+@register("SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 64")
+def recent_faults(spark, d):
+    return reads.newest(table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id"), "event_id", 0, S.DEFAULT_FAULTS, S.MAX_FAULTS)
+
+
+@register("SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY event_id DESC LIMIT 256")
+def recent_runs(spark, d):
+    return reads.newest(table(spark, d, "events").where("event_type = 'signup'").select("event_id", "user_id"), "event_id", 1000, S.DEFAULT_RUNS, S.MAX_RUNS)
+
+
+# Audits and recovery.
+
+_LOG = f"log AS (SELECT event_id // 1000 + 1 AS segment_id, event_id AS pos, event_id + 1 - CASE WHEN {_K} % 50 = 0 THEN 2 ELSE 0 END AS tx_id, NOT ({_K} % 29 = 0 AND user_id % 3 = 0) AND event_id % 4000 < 3990 AS valid FROM events)"
+
+
+@register(f"WITH {_LOG}, p AS (SELECT *, lag(tx_id) OVER (PARTITION BY segment_id ORDER BY pos) AS previous FROM log) SELECT segment_id, pos, tx_id, previous FROM p WHERE previous >= tx_id")
+def order_violations(spark, d):
+    return audits.order_violations(D.log_rows(spark, d).drop("valid"))
+
+
+@register(f"""WITH {_LOG}, b AS (SELECT segment_id, min(pos) FILTER (NOT valid) AS first_broken, max(pos) FILTER (valid) AS last_valid FROM log GROUP BY 1)
+SELECT segment_id, first_broken, CASE WHEN last_valid > first_broken THEN 'CORRUPT' ELSE 'TORN_TAIL' END AS finding FROM b WHERE first_broken IS NOT NULL""")
+def broken_tail(spark, d):
+    return audits.broken_tail(D.log_rows(spark, d))
+
+
+@register(f"WITH {_LEGS} SELECT DISTINCT tx_id FROM legs WHERE (tx_id + seq) % 97 = 0")
+def checksum_mismatches(spark, d):
+    tx, entries = journal_tx(spark, d), journal_entries(spark, d)
+    bent = entries.withColumn("amount", F.col("amount") + F.when((F.col("tx_id") + F.col("seq")) % 97 == 0, 1).otherwise(0))
+    kept = audits.checksums(tx, entries).withColumnRenamed("crc32", "kept")
+    return kept.join(audits.checksums(tx, bent), "tx_id").where("kept <> crc32").select("tx_id")
+
+
+@register(f"""WITH {_JOURNAL}, s AS (SELECT segment_id, max(tx_id) AS last_tx_id FROM tx GROUP BY 1), c AS (SELECT *, segment_id < (SELECT max(segment_id) FROM s) AS closed FROM s)
+SELECT segment_id, last_tx_id, segment_id % 2 = 0 AS with_checkpoint FROM c WHERE closed AND last_tx_id <= 7000""")
+def seal_cadence(spark, d):
+    segments = reads.segment_bounds(journal_tx(spark, d)).withColumn("status", F.when(F.col("segment_id") < F.max("segment_id").over(Window.partitionBy()), "CLOSED").otherwise("ACTIVE"))  # one row for each segment
+    return checkpoints.due_segments(segments, 7000, 2).select("segment_id", "last_tx_id", "with_checkpoint")
+
+
+@register(f"WITH {_JOURNAL} SELECT segment_id, count(*) AS n FROM tx WHERE tx_id <= 4321 GROUP BY 1")
+def truncated_log(spark, d):
+    tx = journal_tx(spark, d)
+    segments = reads.segment_bounds(tx).withColumn("status", F.lit("CLOSED"))
+    return checkpoints.truncate(tx, segments, 4321).groupBy("segment_id").agg(F.count("*").alias("n"))
+
+
+@register(f"""WITH {_OPENS}, f AS (
+  SELECT unnest(generate_series(begin_account_id, begin_account_id + count - 1)) AS account_id, tx_id * 2 AS pos, 1::BIGINT AS flags FROM opens
+  UNION ALL SELECT user_id + 1, (event_id + 1) * 2 + 1, 1 + 256 * ({_K} + 1) FROM events WHERE event_type = 'signup'),
+g AS (SELECT account_id, arg_max(flags, pos) AS flags FROM f GROUP BY 1), b AS (SELECT event_id + 100000 AS account_id, round(value * 100)::BIGINT AS balance FROM events WHERE event_type = 'view')
+SELECT account_id, COALESCE(balance, 0)::BIGINT AS balance, COALESCE(flags, 0)::BIGINT AS flags FROM b FULL JOIN g USING (account_id) WHERE COALESCE(balance, 0) <> 0 OR COALESCE(flags, 0) <> 0""")
+def account_snapshot(spark, d):
+    return state.accounts(D.bucket_entries(spark, d), open_ranges(D.open_ops(spark, d)), D.flag_events(spark, d).withColumn("seq", F.lit(1)))
 
 
-@register(_of_all("tx_status_fenced"))
-def tx_status_fenced_all(spark, d):
-    return reads.fenced_statuses(D.asked_all(spark, d).withColumn("asked_term", F.col("tx_id") % 4 * 2), D.progress(spark, d), D.terms(spark, d))
+_QUORUM = "q AS (SELECT at_ms, CASE WHEN count(*) >= 2 THEN list_reverse_sort(list(commit))[2] ELSE 0 END AS q FROM samples GROUP BY 1)"
 
 
-@register(_of_all("wait_outcomes"))
-def wait_outcomes_all(spark, d):
-    return reads.wait_outcome(D.asked_all(spark, d).withColumn("asked_term", F.col("tx_id") % 4 * 2), D.progress(spark, d), D.terms(spark, d), "commit")
+@register(f"WITH {_SAMPLES}, {_QUORUM} SELECT at_ms, max(CASE WHEN q >= 5000 THEN q ELSE 0 END) OVER (ORDER BY at_ms) AS quorum FROM q")
+def quorum_commit_of_term(spark, d):
+    return metrics.quorum_commit(D.samples(spark, d), 3, term_first_tx=5000)
 
 
-@register(_of_all("term_as_of"))
-def term_as_of_all(spark, d):
-    return reads.term_at(D.asked_all(spark, d), D.terms(spark, d))
+@register(f"WITH {_SAMPLES}, {_QUORUM} SELECT at_ms, least(4000, max(q) OVER (ORDER BY at_ms)) AS quorum FROM q")
+def follower_commit(spark, d):
+    return metrics.follower_commit(metrics.quorum_commit(D.samples(spark, d), 3), 4000)
 
 
 def queries() -> dict[str, Query]:

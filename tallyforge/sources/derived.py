@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.sources.profiles import cents, table
 
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
@@ -73,12 +74,25 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids to look up: every 37th event and one beyond the end."""
-    ids = table(spark, sf_dir, "events").where(number() % 37 == 0).select((number() + 1).alias("tx_id"))
-    return ids.unionByName(ids.agg((F.max("tx_id") + 1_000_000).alias("tx_id")))
-
-
-def asked_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids to look up: every event and one beyond the end."""
     ids = table(spark, sf_dir, "events").select((number() + 1).alias("tx_id"))
     return ids.unionByName(ids.agg((F.max("tx_id") + 1_000_000).alias("tx_id")))
+
+
+def fn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event registers a program by one of 50 names, some of them bad, or unregisters it (a checksum of 0)."""
+    name = F.when(F.col("user_id") % 13 == 0, F.concat(F.lit("9f"), F.col("user_id") % 50)).otherwise(F.concat(F.lit("f_"), F.col("user_id") % 50))
+    return events(spark, sf_dir).select((number() + 1).alias("tx_id"), name.alias("name"), F.when(F.col("k") % 5 == 0, 0).otherwise(F.col("k") + 1).alias("crc32c"))
+
+
+def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(segment_id, pos, tx_id, valid): a log with ids out of order and with broken groups."""
+    k = F.col("k")
+    valid = ~((k % 29 == 0) & (F.col("user_id") % 3 == 0)) & (number() % 4000 < 3990)
+    return events(spark, sf_dir).select((F.floor(number() / 1000) + 1).alias("segment_id"), number().alias("pos"), (number() + 1 - F.when(k % 50 == 0, 2).otherwise(0)).alias("tx_id"), valid.alias("valid"))
+
+
+def named_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constants (id, name): the kinds of events, numbered in the order of their first appearance."""
+    first = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.min(number()).alias("at"))
+    return first.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("id"), "name")  # one row for each kind
