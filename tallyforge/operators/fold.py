@@ -2,9 +2,11 @@
 
 Whether a withdrawal or transfer is accepted depends on everything accepted before it, so a running sum alone is wrong.
 Deposits and withdrawals touch one user's account (SYSTEM has no floor): each account's operations are scanned in order,
-with one balance as state, however many there are. Transfers couple accounts. They are settled by repetition: a scan of every
-account takes the incoming transfers as the last round judged them and judges the outgoing ones anew, until no judgement
-changes. Every judgement depends on earlier transactions only, so the only stable state is that of a strictly sequential
+with one balance as state, however many there are; a run of rows that all pass is settled by one running sum, so that only
+rejections cost a step each. Accounts that never pay are not scanned: nothing about them is to be judged. Transfers couple
+accounts. They are settled by repetition: a scan takes the incoming transfers of an account as the last round judged them and
+judges the outgoing ones anew; the next round scans only accounts whose incoming judgements have changed, until none has.
+Every judgement depends on earlier transactions only, so the only stable state is that of a strictly sequential
 run; rounds grow with the longest chain of judgements that hang on one another (7 for 100,000 operations with 10,852
 rejections over 1,500 accounts), not with the operations.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,25 +50,40 @@ def layout(opens: DataFrame) -> DataFrame:
     return opens.select(F.explode(F.sequence("begin_account_id", F.col("begin_account_id") + F.col("count") - 1)).alias("account_id"), F.col("tx_id").alias("open_tx_id"), "flags")
 
 
+def judged_in_order(balance: int, change: np.ndarray, out: np.ndarray) -> tuple[int, np.ndarray]:
+    """The last balance of an account and which rows pass; outgoing rows (negative changes) need a balance that covers them.
+
+    Rows are taken in blocks, which grow while all pass and shrink at a row that does not.
+    """
+    passed = np.ones(len(change), bool)
+    at, block = 0, 16
+    while at < len(change):
+        after = balance + np.cumsum(change[at : at + block])
+        short = np.flatnonzero((after < 0) & out[at : at + block])
+        if len(short):
+            k = int(short[0])
+            balance, passed[at + k] = int(after[k] - change[at + k]), False
+            at, block = at + k + 1, max(16, block // 4)
+        else:
+            balance, at, block = int(after[-1]), at + block, min(8192, 2 * block)
+    return balance, passed
+
+
 def scan_accounts(legs: DataFrame) -> DataFrame:
     """(tx_id, ok) of the outgoing legs among (account_id, tx_id, out, amount, ok); an incoming leg counts if it is ok."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         account, balance = None, 0
         for batch in batches:
-            ids, judged = [], []
-            for a, t, out, amount, ok in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if a != account:
-                    account, balance = a, 0
-                if out:
-                    enough = balance >= amount
-                    if enough:
-                        balance -= amount
-                    ids.append(t)
-                    judged.append(enough)
-                elif ok:
-                    balance += amount
-            yield pa.RecordBatch.from_pydict({"tx_id": pa.array(ids, pa.int64()), "ok": pa.array(judged, pa.bool_())})
+            ids, tx, out, amount, ok = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            change = np.where(out, -amount, np.where(ok, amount, 0))
+            passed = np.ones(len(ids), bool)
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if ids[lo] != account:
+                    account, balance = ids[lo], 0
+                balance, passed[lo:hi] = judged_in_order(balance, change[lo:hi], out[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(tx[out]), pa.array(passed[out])], names=["tx_id", "ok"])
 
     ordered = legs.select("account_id", "tx_id", "out", "amount", "ok").repartition("account_id").sortWithinPartitions("account_id", "tx_id")
     return ordered.mapInArrow(scan, "tx_id long, ok boolean")
@@ -74,23 +92,21 @@ def scan_accounts(legs: DataFrame) -> DataFrame:
 def judge(moves: DataFrame) -> DataFrame:
     """(tx_id, ok) of every withdrawal and transfer among moves (tx_id, src, dst, amount); src or dst is null outside users."""
     out = moves.where("src IS NOT NULL").select(F.col("src").alias("account_id"), "tx_id", F.lit(True).alias("out"), "amount", F.lit(True).alias("ok"))
-    into = moves.where("dst IS NOT NULL").select(F.col("dst").alias("account_id"), "tx_id", F.lit(False).alias("out"), "amount", F.col("src").isNotNull().alias("waits"))
+    into = moves.where("dst IS NOT NULL").select(F.col("dst").alias("account_id"), "tx_id", F.lit(False).alias("out"), "amount", F.lit(True).alias("ok"), F.col("src").isNotNull().alias("waits"))
+    into = into.join(out.select("account_id").distinct(), "account_id", "left_semi")
     if moves.where("src IS NOT NULL AND dst IS NOT NULL").isEmpty():
-        return scan_accounts(out.unionByName(into.drop("waits").withColumn("ok", F.lit(True))))
-    out, into = persist(out, "fold-out"), persist(into, "fold-in")
-    known = None
-    while True:
-        if known is None:
-            coming = into.drop("waits").withColumn("ok", F.lit(True))
-        else:
-            coming = into.where("NOT waits").drop("waits").withColumn("ok", F.lit(True)).unionByName(into.where("waits").drop("waits").join(known, "tx_id"))
-        new = persist(scan_accounts(out.unionByName(coming)), "fold-judged")
-        if known is not None:
-            same = new.withColumnRenamed("ok", "new").join(known, "tx_id").where("new <> ok").isEmpty()
-            drop_persisted(known)
-            if same:
-                return new
-        known = new
+        return scan_accounts(out.unionByName(into.drop("waits")))
+    out, into = persist(out, "fold-out"), persist(into.select("account_id", "tx_id", "out", "amount", "ok", "waits"), "fold-in")
+    known = persist(scan_accounts(out.unionByName(into.drop("waits"))).withColumn("changed", ~F.col("ok")), "fold-judged")
+    while not known.where("changed").isEmpty():
+        again = into.where("waits").join(known.where("changed").select("tx_id"), "tx_id", "left_semi").select("account_id").distinct()
+        coming = into.join(again, "account_id", "left_semi")
+        judged = coming.where("waits").drop("ok", "waits").join(known.select("tx_id", "ok"), "tx_id").select("account_id", "tx_id", "out", "amount", "ok")
+        new = scan_accounts(out.join(again, "account_id", "left_semi").unionByName(coming.where("NOT waits").drop("waits")).unionByName(judged)).withColumnRenamed("ok", "new")
+        newer = persist(known.join(new, "tx_id", "left").select("tx_id", F.coalesce("new", "ok").alias("ok"), F.coalesce(F.col("new") != F.col("ok"), F.lit(False)).alias("changed")), "fold-judged")
+        drop_persisted(known)
+        known = newer
+    return known.select("tx_id", "ok")
 
 
 def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT, ts_ns: int = 0, opening: DataFrame | None = None) -> Ledger:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.prefix import signed
+from tallyforge.operators.prefix import RANGE, signed
 
 
 def zero_sum_by_tx(entries: DataFrame) -> DataFrame:
@@ -25,14 +25,15 @@ def zero_sum_global(balances: DataFrame) -> DataFrame:
 def continuity_violations(entries: DataFrame) -> DataFrame:
     """Entries whose computed balance is not the account's one before it with the amount added or subtracted.
 
-    Within a segment the row before is looked up; a segment's first row is held against the last of the account's segments
-    before, so no account is scanned by one task.
+    Within a range of segments the row before is looked up; a range's first row is held against the last of the account's
+    ranges before, so no account is scanned by one task.
     """
     order = ["tx_id", "seq"]
-    inner = Window.partitionBy("account_id", "segment_id").orderBy(*order)
-    ends = entries.groupBy("account_id", "segment_id").agg(F.max_by("computed_balance", F.struct(*order)).alias("_end"))
-    ends = ends.withColumn("_carried", F.coalesce(F.lag("_end").over(Window.partitionBy("account_id").orderBy("segment_id")), F.lit(0))).drop("_end")
-    rows = entries.withColumn("_prev", F.lag("computed_balance").over(inner)).join(ends, ["account_id", "segment_id"])
+    rows = entries.withColumn("_range", F.floor(F.col("segment_id") / RANGE))
+    inner = Window.partitionBy("account_id", "_range").orderBy(*order)
+    ends = rows.groupBy("account_id", "_range").agg(F.max_by("computed_balance", F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_carried", F.coalesce(F.lag("_end").over(Window.partitionBy("account_id").orderBy("_range")), F.lit(0))).drop("_end")
+    rows = rows.withColumn("_prev", F.lag("computed_balance").over(inner)).join(ends, ["account_id", "_range"])
     before = F.coalesce("_prev", "_carried")
     return rows.where(F.col("computed_balance") != before + signed()).select("tx_id", "seq", "account_id", before.alias("previous"), signed().alias("change"), "computed_balance")
 
@@ -54,10 +55,15 @@ def segment_report(tx: DataFrame) -> DataFrame:
     return tx.groupBy("segment_id").agg(F.sum(F.col("sub_item_count") + 1).alias("record_count"), F.count("*").alias("tx_count"), F.min("tx_id").alias("first_tx_id"), F.max("tx_id").alias("last_tx_id"))
 
 
-def segment_gaps(tx: DataFrame) -> DataFrame:
-    """Segments that do not follow the one before by number or by transaction id."""
-    order = Window.orderBy("segment_id")  # one row for each segment
-    rows = segment_report(tx).select("segment_id", "first_tx_id", "last_tx_id", F.lag("segment_id").over(order).alias("previous_segment"), F.lag("last_tx_id").over(order).alias("previous_last"))
+def segment_gaps(tx: DataFrame, width: int = 10_000) -> DataFrame:
+    """Segments that do not follow the one before by number or by transaction id; compared within blocks, and the blocks' ends with each other."""
+    one = F.struct("segment_id", "last_tx_id")
+    rows = segment_report(tx).select("segment_id", "first_tx_id", "last_tx_id", F.floor(F.col("segment_id") / width).alias("b"))
+    ends = rows.groupBy("b").agg(F.max(one).alias("end"))
+    ends = ends.select("b", F.lag("end").over(Window.orderBy("b")).alias("carried"))  # one row for each block
+    rows = rows.withColumn("previous", F.lag(one).over(Window.partitionBy("b").orderBy("segment_id"))).join(ends, "b")
+    rows = rows.withColumn("previous", F.coalesce("previous", "carried"))
+    rows = rows.select("segment_id", "first_tx_id", "last_tx_id", F.col("previous.segment_id").alias("previous_segment"), F.col("previous.last_tx_id").alias("previous_last"))
     return rows.where("segment_id <> previous_segment + 1 OR first_tx_id <> previous_last + 1")
 
 
@@ -65,7 +71,7 @@ def segment_range(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.where(F.col("segment_id").between(first, last))
 
 
-def tx_gaps(tx: DataFrame, width: int = 10_000) -> DataFrame:
+def tx_gaps(tx: DataFrame, width: int = 1_000_000) -> DataFrame:
     """(after_tx_id, before_tx_id) of each gap; ids are compared within blocks, and the blocks' ends with each other."""
     keyed = tx.select("tx_id", F.floor(F.col("tx_id") / width).alias("b"))
     inner = keyed.withColumn("before", F.lead("tx_id").over(Window.partitionBy("b").orderBy("tx_id"))).select(F.col("tx_id").alias("a"), "before")

@@ -165,3 +165,49 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == 120
     _, why = plain([open_(5), *rows])
     assert {t: r for t, (r, _) in got.items()} == {t: r for t, r in why.items() if t > 1}
+
+
+def test_blocks_of_rows_are_judged_as_one_by_one():
+    import numpy as np
+
+    from tallyforge.operators.fold import judged_in_order
+
+    rng = np.random.default_rng(3)
+    for high in (20, 60, 400):
+        for n in (0, 1, 15, 500, 20_000):
+            out = rng.random(n) < 0.5
+            amount = rng.integers(0, np.where(out, high, 50) + 1)
+            balance, want = 7, []
+            for o, a in zip(out.tolist(), amount.tolist(), strict=True):
+                ok = not o or balance >= a
+                balance += (-a if o else a) if ok else 0
+                want.append(ok)
+            got, passed = judged_in_order(7, np.where(out, -amount, amount), out)
+            assert got == balance and passed.tolist() == want
+
+
+def test_half_of_all_rows_on_one_account(spark):
+    rng = random.Random(9)
+    rows = [open_(6)]
+    for _ in range(1500):
+        a = 1 if rng.random() < 0.5 else rng.randrange(1, 7)
+        rows.append(rng.choice([deposit(a, rng.randrange(40)), withdraw(a, rng.randrange(60)), transfer(a, rng.randrange(1, 7), rng.randrange(50))]))
+    balances, reasons, _ = run(spark, rows)
+    want, why = plain(rows)
+    assert reasons == why and balances == {a: b for a, b in want.items() if a in balances}
+
+
+def test_running_sums_over_several_ranges(spark, monkeypatch):
+    from tallyforge.operators import prefix
+    from tallyforge.plans import audits
+
+    monkeypatch.setattr(prefix, "RANGE", 3)
+    monkeypatch.setattr(audits, "RANGE", 3)
+    rows = [(t, s, "DEBIT" if (t + s) % 2 else "CREDIT", (t * s) % 5, t + s, t // 4) for t in range(1, 120) for s in range(2)]
+    entries = prefix.balances_along(spark.createDataFrame(rows, "tx_id long, seq int, kind string, account_id long, amount long, segment_id long"))
+    held, want = {}, {}
+    for t, s, kind, account, amount, _ in rows:
+        held[account] = want[t, s] = held.get(account, 0) + (amount if kind == "DEBIT" else -amount)
+    assert {(r.tx_id, r.seq): r.computed_balance for r in entries.collect()} == want
+    assert audits.continuity_violations(entries).count() == 0
+    assert audits.continuity_violations(entries.withColumn("computed_balance", F.col("computed_balance") + F.when(F.col("tx_id") == 60, 1).otherwise(0))).count() > 0
