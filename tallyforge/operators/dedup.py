@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge import schemas as S
 from tallyforge.scratch import drop_persisted, persist
 
 
@@ -56,23 +57,46 @@ def generations(checks: DataFrame, w: int) -> DataFrame:
     return keyed.join(spans, (keyed["b"] == spans["b"]) & (keyed["tx_id"] >= spans["start"]) & (keyed["tx_id"] < spans["next"])).drop("b", "start", "next")
 
 
-def duplicates(ops: DataFrame, w: int) -> DataFrame:
-    """(tx_id, to_tx_id) of the operations (tx_id, user_ref) that repeat a recorded reference."""
-    checks = generations(ops.where("user_ref <> 0").select("tx_id", "user_ref"), w)
+def checks_of(ops: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(tx_id, user_ref, judged, repeated) of the operations with a reference and of prior transactions (tx_id, user_ref, fail_reason)."""
+    new = ops.where("user_ref <> 0").select("tx_id", "user_ref", F.lit(False).alias("judged"), F.lit(False).alias("repeated"))
+    if prior is None:
+        return new
+    old = prior.where("user_ref <> 0").select("tx_id", "user_ref", F.lit(True).alias("judged"), (F.col("fail_reason") == S.DUPLICATE).alias("repeated"))
+    return new.unionByName(old)
+
+
+def last_windows(checks: DataFrame, w: int) -> list[int]:
+    """Starts of the last two windows, ascending; what began before them expires with the next one."""
+    if not w:
+        return []
+    starts = generations(checks.select("tx_id"), w).groupBy("generation").agg(F.min("tx_id").alias("start"))
+    return sorted(r["start"] for r in starts.orderBy(F.desc("start")).limit(2).collect())
+
+
+def duplicates(ops: DataFrame, w: int, prior: DataFrame | None = None) -> DataFrame:
+    """(tx_id, to_tx_id) of the operations (tx_id, user_ref) that repeat a recorded reference.
+
+    prior holds the transactions with references from the start of the last window but one on, as they were judged.
+    """
+    checks = generations(checks_of(ops, prior), w)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref, seen, held = None, 0, 0  # the reference at hand, the transaction and the window that recorded it last
         for batch in batches:
             own, original = [], []
-            for r, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if r == ref and (not w or g - held <= 1):
+            for r, t, g, judged, repeated in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if judged:
+                    if not repeated:
+                        ref, seen, held = r, t, g
+                elif r == ref and (not w or g - held <= 1):
                     own.append(t)
                     original.append(seen)
                 else:
                     ref, seen, held = r, t, g
             yield pa.RecordBatch.from_pydict({"tx_id": pa.array(own, pa.int64()), "to_tx_id": pa.array(original, pa.int64())})
 
-    ordered = checks.select("user_ref", "tx_id", "generation").repartition("user_ref").sortWithinPartitions("user_ref", "tx_id")
+    ordered = checks.select("user_ref", "tx_id", "generation", "judged", "repeated").repartition("user_ref").sortWithinPartitions("user_ref", "tx_id")
     return ordered.mapInArrow(scan, "tx_id long, to_tx_id long")
 
 

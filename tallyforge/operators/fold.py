@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
+from tallyforge.functions.flags import status
 from tallyforge.operators.dedup import duplicates
 from tallyforge.operators.prefix import balances_along, running_sum
 from tallyforge.scratch import drop_persisted, persist
@@ -38,11 +39,11 @@ class Ledger:
     opens: DataFrame
 
 
-def open_ranges(opened: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """OPENS rows of accepted OpenAccount operations (tx_id, count, user_ref): contiguous ranges in their order, from 1 on."""
+def open_ranges(opened: DataFrame, segment: int = SEGMENT, first: int = 1) -> DataFrame:
+    """OPENS rows of accepted OpenAccount operations (tx_id, count, user_ref): contiguous ranges in their order, from first on."""
     rows = opened.select("tx_id", F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)).alias("count"), "user_ref", segment_of(F.col("tx_id"), segment).alias("segment_id"))
     rows = running_sum(rows, F.col("count"), ["tx_id"], "last")
-    return rows.select("tx_id", F.lit(0).alias("seq"), (F.col("last") - F.col("count") + 1).alias("begin_account_id"), "count", F.lit(S.OPEN).cast("long").alias("flags"), "user_ref")
+    return rows.select("tx_id", F.lit(0).alias("seq"), (F.col("last") - F.col("count") + first).alias("begin_account_id"), "count", F.lit(S.OPEN).cast("long").alias("flags"), "user_ref")
 
 
 def layout(opens: DataFrame) -> DataFrame:
@@ -109,25 +110,28 @@ def judge(moves: DataFrame) -> DataFrame:
     return known.select("tx_id", "ok")
 
 
-def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT, ts_ns: int = 0, opening: DataFrame | None = None) -> Ledger:
+def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT, ts_ns: int = 0, accounts: DataFrame | None = None, next_account: int = 1, prior: DataFrame | None = None) -> Ledger:
     """Run operations (schemas.OPS, gap-free or not) of kinds OpenAccount, Deposit, Withdrawal, Transfer and NewTerm.
 
     A user's account must have been opened by an earlier transaction, else ACCOUNT_NOT_FOUND; SYSTEM cannot be named. An
     amount of 0 is accepted, a negative one is an INVALID_OPERATION. A transfer to the same account succeeds without entries.
-    opening (account_id, balance) is what accounts hold before the first operation.
+    An execution may go on from another: from its accounts (account_id, balance, flags), the next account id, and the prior
+    transactions whose references still count.
     """
     ops = ops.withColumn("user_ref", F.coalesce("user_ref", F.lit(0).cast("long")))
     if ops.where("user_ref <> 0").isEmpty():
         links = ops.sparkSession.createDataFrame([], "tx_id long, to_tx_id long")
     else:
-        links = persist(duplicates(ops, dedup_window), "fold-links")
+        links = persist(duplicates(ops, dedup_window, prior), "fold-links")
     seen = ops.join(links, "tx_id", "left").withColumn("src", F.when(F.col("op") == "Withdrawal", F.col("account")).when(F.col("op") == "Transfer", F.col("from")))
     seen = seen.withColumn("dst", F.when(F.col("op") == "Deposit", F.col("account")).when(F.col("op") == "Transfer", F.col("to")))
-    opens = open_ranges(seen.where("op = 'OpenAccount' AND to_tx_id IS NULL"), segment)
+    opens = open_ranges(seen.where("op = 'OpenAccount' AND to_tx_id IS NULL"), segment, next_account)
     if not opens.isEmpty():
         opens = persist(opens, "fold-opens")
-    accounts = layout(opens)
-    a, b = accounts.select(F.col("account_id").alias("src"), F.col("open_tx_id").alias("src_open")), accounts.select(F.col("account_id").alias("dst"), F.col("open_tx_id").alias("dst_open"))
+    known = layout(opens)
+    if accounts is not None:
+        known = known.unionByName(accounts.where(status(F.col("flags")) == S.OPEN).select("account_id", F.lit(0).cast("long").alias("open_tx_id"), "flags"))
+    a, b = known.select(F.col("account_id").alias("src"), F.col("open_tx_id").alias("src_open")), known.select(F.col("account_id").alias("dst"), F.col("open_tx_id").alias("dst_open"))
     seen = seen.join(a, "src", "left").join(b, "dst", "left")
     there = lambda who: F.col(who).isNull() | F.coalesce(F.col(f"{who}_open") < F.col("tx_id"), F.lit(False))
     moving = F.col("op").isin("Deposit", "Withdrawal", "Transfer")
@@ -142,8 +146,8 @@ def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT,
     seen = persist(seen.select("tx_id", "op", "src", "dst", "amount", "user_ref", "to_tx_id", early.alias("early")), "fold-seen")
     moves = seen.where("early = 0 AND op IN ('Deposit', 'Withdrawal', 'Transfer') AND NOT (op = 'Transfer' AND src = dst)")
     moved = moves.select("tx_id", "src", "dst", "amount")
-    if opening is not None:
-        moved = moved.unionByName(opening.select(F.lit(0).cast("long").alias("tx_id"), F.lit(None).cast("long").alias("src"), F.col("account_id").alias("dst"), F.col("balance").alias("amount")))
+    if accounts is not None:
+        moved = moved.unionByName(accounts.where("account_id <> 0 AND balance <> 0").select(F.lit(0).cast("long").alias("tx_id"), F.lit(None).cast("long").alias("src"), F.col("account_id").alias("dst"), F.col("balance").alias("amount")))
     judged = judge(moved)
     late = F.when(F.col("early") != 0, F.col("early")).when(~F.coalesce("ok", F.lit(True)), S.INSUFFICIENT_FUNDS).otherwise(S.NONE).cast("int")
     done = seen.join(judged, "tx_id", "left").withColumn("fail_reason", late).withColumn("segment_id", segment_of(F.col("tx_id"), segment))
@@ -159,4 +163,8 @@ def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT,
         tag = tag.when(F.col("op") == op, name)
     tx = done.select("tx_id", "fail_reason", followers.cast("int").alias("sub_item_count"), F.lit(ts_ns).cast("long").alias("ts_ns"), "user_ref", tag.alias("tag"), "segment_id")
     tx_links = links.select("tx_id", F.lit("Duplicate").alias("kind"), "to_tx_id")
-    return Ledger(tx, balances_along(entries), tx_links, opens)
+    if accounts is None:
+        return Ledger(tx, balances_along(entries), tx_links, opens)
+    held = accounts.where("balance <> 0").join(entries.select("account_id").distinct(), "account_id", "left_semi")
+    base = held.select(F.lit(0).cast("long").alias("tx_id"), F.abs("balance").alias("amount"), F.lit(0).cast("long").alias("segment_id"), F.lit(0).alias("seq"), F.when(F.col("balance") >= 0, "DEBIT").otherwise("CREDIT").alias("kind"), "account_id")
+    return Ledger(tx, balances_along(entries.unionByName(base)).where("tx_id > 0"), tx_links, opens)

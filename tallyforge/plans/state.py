@@ -36,6 +36,15 @@ def accounts(entries: DataFrame, opens: DataFrame, flag_events: DataFrame | None
     return out.where("balance <> 0 OR flags <> 0")
 
 
+def accounts_after(base: DataFrame, entries: DataFrame, opens: DataFrame, flag_events: DataFrame | None = None) -> DataFrame:
+    """Accounts carried on from a base (account_id, balance, flags) over the log after it."""
+    first = [F.lit(0).cast("long").alias("tx_id"), F.lit(-1).alias("seq")]
+    held = base.select("account_id", *first, F.col("balance").alias("computed_balance"))
+    flags = base.select("account_id", *first, F.col("flags").alias("new_flags"))
+    later = flags if flag_events is None else flags.unionByName(flag_events.select("account_id", "tx_id", "seq", "new_flags"))
+    return accounts(held.unionByName(entries.select(held.columns)), opens, later)
+
+
 def links(link_events: DataFrame) -> DataFrame:
     return link_events.groupBy("parent_id", "type_id").agg(F.max_by("child_id", _order()).alias("child_id"))
 

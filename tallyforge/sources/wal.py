@@ -11,10 +11,10 @@ TABLES = {"tx": S.TX, "entries": S.ENTRIES, "tx_links": S.TX_LINKS, "opens": S.O
 BY_SEGMENT = ("tx", "entries")
 
 
-def append(df: DataFrame, root: str, name: str) -> None:
-    """Add rows of a table; those of tx and entries go to their segment's folder, sorted by transaction."""
+def append(df: DataFrame, root: str, name: str, folders: bool = True) -> None:
+    """Add rows of a table, sorted by transaction; with folders, those of tx and entries go to that of their segment."""
     order = [c for c in ("tx_id", "seq") if c in df.columns]
-    if name in BY_SEGMENT:
+    if name in BY_SEGMENT and folders:
         df.repartition("segment_id").sortWithinPartitions("segment_id", *order).write.mode("append").partitionBy("segment_id").parquet(f"{root}/{name}")
     else:
         (df.sortWithinPartitions(*order) if order else df).write.mode("append").parquet(f"{root}/{name}")

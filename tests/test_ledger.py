@@ -9,6 +9,7 @@ from tallyforge import schemas as S
 from tallyforge.operators import programs
 from tallyforge.operators.dedup import duplicates
 from tallyforge.operators.fold import execute
+from tallyforge.plans import engine as engine_module
 from tallyforge.plans import state
 from tallyforge.plans.engine import LedgerEngine
 from tallyforge.sources import ndjson
@@ -117,6 +118,100 @@ def test_engine_continues_and_recovers(spark, tmp_path):
         engine.submit(frame(spark, [deposit(1, 1)], 7))
 
 
+@pytest.mark.parametrize("lost", ["entries", "tx", "commit"])
+def test_a_batch_lost_before_its_commit_can_be_submitted_again(spark, tmp_path, monkeypatch, lost):
+    engine = LedgerEngine(spark, LedgerConfig(root=f"file://{tmp_path}/log", transactions_per_segment=100))
+    engine.submit(frame(spark, [open_(1), deposit(1, 100)]))
+    append = engine_module.wal.append
+
+    def failing(df, root, name, folders):
+        append(df, root, name, folders)
+        if name == lost:
+            raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(engine_module.wal, "append", failing)
+        if lost == "commit":
+            m.setattr(engine.commits, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            engine.submit(frame(spark, [deposit(1, 100)], 3))
+    assert engine.last_tx_id() == 2
+    engine.submit(frame(spark, [deposit(1, 7)], 3))
+    assert {r.account_id: r.balance for r in engine.accounts().collect()} == {0: -107, 1: 107}
+    assert engine.table("entries").where("tx_id = 3").count() == 2
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path):
+    config = LedgerConfig(root=f"file://{tmp_path}/log", transactions_per_segment=100)
+    a, b = LedgerEngine(spark, config), LedgerEngine(spark, config)
+    a.submit(frame(spark, [open_(1), deposit(1, 100)]))
+    seen = b.history()
+    a.submit(frame(spark, [withdraw(1, 80)], 3))
+    b.history = lambda: seen
+    with pytest.raises(RuntimeError, match="another writer"):
+        b.submit(frame(spark, [withdraw(1, 80)], 3))
+    assert {r.account_id: r.balance for r in a.accounts().collect()} == {0: -20, 1: 20}
+
+
+def test_checkpoints_and_tail_equal_one_run(spark, tmp_path):
+    """Random batches with references, checkpoints at a cadence: state, transactions and links are those of one execution."""
+    rng = random.Random(5)
+    rows = [open_(4)]
+    for i in range(1, 90):
+        a, ref = rng.randrange(1, 7), rng.choice([0, 0, rng.randrange(1, 9)])
+        rows.append(rng.choice([deposit(a, rng.randrange(50), ref), {**withdraw(a, rng.randrange(60)), "user_ref": ref}, transfer(a, rng.randrange(1, 7), rng.randrange(40)), open_(1) if i % 20 == 0 else deposit(a, 1)]))
+    config = LedgerConfig(root=f"file://{tmp_path}/log", transactions_per_segment=8, snapshot_frequency=3)
+    engine = LedgerEngine(spark, config)
+    for lo in range(0, 90, 18):
+        engine.submit(frame(spark, rows[lo : lo + 18], lo + 1))
+    whole = execute(frame(spark, rows), config.dedup_window, config.transactions_per_segment)
+    assert sum(c["kind"] == "checkpoint" for c in engine.history()) >= 2
+    assert sorted(map(tuple, engine.accounts().collect())) == sorted(map(tuple, state.accounts(whole.entries, whole.opens).collect()))
+    columns = ["tx_id", "fail_reason", "sub_item_count", "user_ref", "tag", "segment_id"]
+    assert sorted(map(tuple, engine.table("tx").select(columns).collect())) == sorted(map(tuple, whole.tx.select(columns).collect()))
+    assert sorted(map(tuple, engine.table("entries").collect())) == sorted(map(tuple, whole.entries.select(engine.table("entries").columns).collect()))
+    assert sorted(map(tuple, engine.table("tx_links").collect())) == sorted(map(tuple, whole.tx_links.select("tx_id", "kind", "to_tx_id").collect()))
+    assert engine.snapshot(at_least=1000) is None and engine.snapshot().count() > 0
+
+
+def test_cut_recovers_and_checkpoints_refuse_it(spark, tmp_path):
+    rows = [open_(2), deposit(1, 100), transfer(1, 2, 30), withdraw(2, 10), open_(3), deposit(1, 5, 77)]
+    engine = LedgerEngine(spark, LedgerConfig(root=f"file://{tmp_path}/log", transactions_per_segment=100))
+    engine.submit(frame(spark, rows[:3]))
+    engine.submit(frame(spark, rows[3:], 4))
+    engine.cut(4)
+    want, _ = plain(rows[:4])
+    assert engine.last_tx_id() == 4 and {r.account_id: r.balance for r in engine.accounts().collect()} == want
+    again = engine.submit(frame(spark, [deposit(1, 9, 77), open_(1)], 5)).collect()
+    assert all(r.fail_reason == 0 for r in again)
+    opened = engine.open_accounts(7, 2).first()
+    assert (opened.begin_account_id, opened["count"]) == (4, 2)
+    engine.checkpoint()
+    with pytest.raises(ValueError, match="covers"):
+        engine.cut(5)
+
+
+def test_checkpoints_hold_links_keys_and_functions(spark, tmp_path):
+    engine = LedgerEngine(spark, LedgerConfig(root=f"file://{tmp_path}/log", transactions_per_segment=100))
+    frame_of = lambda name, rows: spark.createDataFrame(rows, S.schema(getattr(S, name)))
+    number = lambda i: ("Int", i, None)
+    engine.submit(frame(spark, [open_(2)]), {
+        "link_events": frame_of("LINK_EVENTS", [(1, 0, 1, 5, 50), (1, 1, 2, 5, 51)]), "fn_events": frame_of("FN_EVENTS", [(1, "f", 1, 9), (1, "g", 1, 8)]),
+        "kv_events": frame_of("KV_EVENTS", [(1, 0, "a", None, number(1), False), (1, 1, "b", None, number(2), False)]),
+    })
+    engine.checkpoint()
+    engine.submit(frame(spark, [deposit(1, 3)], 2), {
+        "link_events": frame_of("LINK_EVENTS", [(2, 0, 1, 6, 52)]), "fn_events": frame_of("FN_EVENTS", [(2, "g", 1, 0)]),
+        "kv_events": frame_of("KV_EVENTS", [(2, 0, "a", None, number(7), False), (2, 1, "b", None, None, True)]),
+    })
+    assert {(r.parent_id, r.type_id, r.child_id) for r in engine.state("links").collect()} == {(1, 5, 50), (2, 5, 51), (1, 6, 52)}
+    assert {r.key_str: r.value.i for r in engine.state("kv").collect()} == {"a": 7}
+    assert {r.name: (r.version, r.crc32c) for r in engine.state("functions").collect()} == {"f": (1, 9), "g": (1, 0)}
+    assert engine.open_accounts(3, 1).first().begin_account_id == 53
+    engine.views()
+    assert spark.sql("SELECT count(*) AS n FROM link_events").first().n == 3
+
+
 def test_ndjson_is_an_inverse_and_refuses_broken_groups(spark, tmp_path):
     _, _, ledger = run(spark, [open_(2), deposit(1, 9), transfer(1, 2, 4), withdraw(1, 50)])
     log = ndjson.records(ledger.tx, ledger.entries, ledger.tx_links, ledger.opens)
