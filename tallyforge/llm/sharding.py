@@ -21,15 +21,14 @@ columns of any names.
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import scratch_dir, table
+from tallyforge.sources.commits import CommitLog
 
 #: Compressed bytes of a full shard; a loader reads shards whole.
 TARGET_BYTES = 32 << 20
@@ -50,61 +49,29 @@ SHARD = "path string, tier int, bytes long, rows long"
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, small_rows: int = SMALL_ROWS):
         self.spark, self.root, self.target, self.small_rows = spark, root.rstrip("/"), target_bytes, small_rows
+        self.commits = CommitLog(spark, f"{self.root}/commits")
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _names(self, folder: str) -> list[str]:
-        fs, at = self._fs(f"{self.root}/{folder}")
-        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-
     def versions(self) -> list[int]:
         """The committed versions, ascending."""
-        return sorted(int(n) for n in self._names("commits") if n.isdigit())
+        return self.commits.numbers()
 
     def version(self) -> int:
         """The last committed version, 0 before the first."""
-        return max(self.versions(), default=0)
-
-    def _generation(self, version: int) -> str:
-        """The manifest that a commit names."""
-        return self.spark.read.text(f"{self.root}/commits/{version:012d}").first()[0]
+        return self.commits.last()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         v = self.version() if version is None else version
-        return self.spark.read.schema(SHARD).parquet(f"{self.root}/manifest/{self._generation(v)}") if v else self.spark.createDataFrame([], SHARD)
-
-    def _publish(self, generation: str, version: int) -> bool:
-        """Make a manifest the given version, unless that version is there."""
-        fs, draft = self._fs(f"{self.root}/commits/draft-{uuid.uuid4().hex}")
-        _, final = self._fs(f"{self.root}/commits/{version:012d}")
-        out = fs.create(draft)
-        out.write(bytearray(generation.encode()))
-        out.close()
-        try:
-            if fs.getScheme() == "file":
-                os.link(draft.toUri().getPath(), final.toUri().getPath())
-            else:
-                jvm = self.spark._jvm
-                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
-                never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-                context.rename(draft, final, never)
-            return True
-        except FileExistsError:
-            return False
-        except Py4JJavaError as e:
-            if "FileAlreadyExistsException" in str(e.java_exception):
-                return False
-            raise
-        finally:
-            fs.delete(draft, False)
+        return self.spark.read.schema(SHARD).parquet(f"{self.root}/manifest/{self.commits.texts([v])[v]}") if v else self.spark.createDataFrame([], SHARD)
 
     def _commit(self, shards: DataFrame, based_on: int) -> bool:
         """Write the manifest after the one a change was based on; False if another writer was first."""
         generation = uuid.uuid4().hex
         shards.coalesce(1).write.parquet(f"{self.root}/manifest/{generation}")
-        return self._publish(generation, based_on + 1)
+        return self.commits.publish(generation, based_on + 1)
 
     def _written(self, folder: str) -> DataFrame:
         """Manifest rows of the shards in a folder, from the files themselves."""
@@ -168,16 +135,14 @@ class ShardStore:
     def vacuum(self, keep_versions: int = KEEP_VERSIONS, grace: float = GRACE) -> int:
         """Forget versions but for the last ones and those younger than grace, and delete what no other version names and is as old; returns how many data folders."""
         before = time.time() - grace
-        fs, at = self._fs(f"{self.root}/commits")
-        old = {int(x.getPath().getName()): x.getPath() for x in (fs.listStatus(at) if fs.exists(at) else []) if x.getPath().getName().isdigit() and x.getModificationTime() / 1000 <= before}
-        goes = set(old) - set(self.versions()[-keep_versions:])
-        kept = [v for v in self.versions() if v not in goes]
-        manifests = {self._generation(v) for v in kept}
+        ages = self.commits.ages()
+        kept = [v for v in ages if v in sorted(ages)[-keep_versions:] or ages[v] > before]
+        manifests = set(self.commits.texts(kept).values())
         folders: set[str] = set()
         for v in kept:
             folders |= {r[0] for r in self.manifest(v).select(F.regexp_extract("path", r"/data/([^/]+)/", 1)).distinct().collect()}
-        for v in goes:
-            fs.delete(old[v], False)
+        for v in set(ages) - set(kept):
+            self.commits.forget(v)
         gone = 0
         for folder, named in (("data", folders), ("manifest", manifests)):
             fs, at = self._fs(f"{self.root}/{folder}")

@@ -59,7 +59,7 @@ def test_a_writer_lost_before_its_commit_hinders_nobody(spark, tmp_path, monkeyp
     s = store(spark, tmp_path)
     s.append(some(spark, 0, 10))
     with monkeypatch.context() as m:
-        m.setattr(ShardStore, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        m.setattr(s.commits, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
         with pytest.raises(RuntimeError):
             s.append(some(spark, 10, 20))
     (tmp_path / "store/commits/draft-1").write_text("left behind")
