@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,7 @@ from tallyforge.operators.dedup import duplicates
 from tallyforge.operators.fold import execute, layout, open_ranges
 from tallyforge.operators.sequencing import sequence, sequence_batches
 from tallyforge.plans import audits, checkpoints, metrics, reads, state
+from tallyforge.scratch import scratch_dir
 from tallyforge.sources import derived as D
 from tallyforge.sources import ndjson
 from tallyforge.sources.profiles import SUPPLIERS_FROM, event_ops, journal_entries, journal_tx, order_legs, segment_of, table
@@ -398,8 +400,12 @@ def balance_as_of(spark, d):
 
 @register(f"WITH {_LEGS} SELECT account_id, sum(CASE WHEN kind = 'DEBIT' THEN amount ELSE -amount END)::BIGINT AS balance FROM legs GROUP BY 1")
 def checkpoint_plus_tail(spark, d):
-    entries = journal_entries(spark, d)
-    base = state.balances(entries.where("segment_id <= 6")).withColumn("last_tx_id", F.lit(6000).cast("long"))
+    """Checkpoints of two segments are written; what holds after the last is the newest of them up to a watermark and the tail."""
+    entries, root = journal_entries(spark, d), f"{scratch_dir(spark)}/tallyforge/checkpoints-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], S.OPENS)
+    for segment in (3, 6):
+        checkpoints.write_checkpoint(checkpoints.checkpoint(entries, none, segment, 1000 * segment), root, segment)
+    base = checkpoints.newest_checkpoint(spark, root, watermark=6500)
     return checkpoints.balances_after(base, entries.where("segment_id > 6"))
 
 
