@@ -1,6 +1,8 @@
 """The fold as a stream: operations arrive in files, state is kept per account, results are merged idempotently.
 
-Order across micro-batches is that of the source; within one, a key's rows are sorted by tx_id, and rows at or below the last
+Two forms: judged() keeps a balance for each account in the stream's state, for deposits and withdrawals on open accounts;
+submitted() gives every micro-batch to a LedgerEngine, which adds openings, transfers between accounts and references that
+expire by count, with one commit a batch. Order across micro-batches is that of the source; within one, a key's rows are sorted by tx_id, and rows at or below the last
 id that a key has seen are dropped as late. Windows are counted in transactions, so no event-time watermark is used.
 """
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyforge import schemas as S
+from tallyforge.plans.engine import LedgerEngine
 
 JUDGED = "account_id long, tx_id long, fail_reason int, change long, computed_balance long"
 
@@ -62,6 +65,20 @@ def write_batches(rows: DataFrame, root: str, checkpoint: str) -> Callable:
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def submitted(ops: DataFrame, engine: LedgerEngine, checkpoint: str):
+    """Submit a stream of operations batch by batch; returns the started query.
+
+    A batch that is run again after its commit finds its ids taken and adds nothing; rows at or below the last id are late.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        new = batch.where(F.col("tx_id") > engine.last_tx_id())
+        if not new.isEmpty():
+            engine.submit(new)
+
+    return ops.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def progress(query) -> dict:
     """Monotone marks of a running query: batches done and rows read."""
     done = query.recentProgress

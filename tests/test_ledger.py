@@ -306,3 +306,25 @@ def test_running_sums_over_several_ranges(spark, monkeypatch):
     assert {(r.tx_id, r.seq): r.computed_balance for r in entries.collect()} == want
     assert audits.continuity_violations(entries).count() == 0
     assert audits.continuity_violations(entries.withColumn("computed_balance", F.col("computed_balance") + F.when(F.col("tx_id") == 60, 1).otherwise(0))).count() > 0
+
+
+@pytest.mark.parametrize("profile", ["P1-dup", "P2"])
+def test_submitted_stream_equals_batch(spark, tiny, tmp_path, profile):
+    from tallyforge.sources.profiles import event_ops
+
+    ops = event_ops(spark, tiny, profile).persist()
+    last = ops.agg(F.max("tx_id")).first()[0]
+    for lo, hi in ((0, last // 2), (last // 2, last)):
+        ops.where((F.col("tx_id") > lo) & (F.col("tx_id") <= hi)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ops")
+    config = LedgerConfig(root=f"file://{tmp_path}/log", transactions_per_segment=200, snapshot_frequency=2)
+    engine = LedgerEngine(spark, config)
+    stream = ledger_stream.read_ops(spark, f"{tmp_path}/ops")
+    for _ in range(2):  # the second start has nothing left to do
+        query = ledger_stream.submitted(stream, engine, f"{tmp_path}/checkpoint")
+        query.awaitTermination()
+    assert ledger_stream.progress(query)["rows"] in (0, last)
+    batch = execute(ops, config.dedup_window, config.transactions_per_segment)
+    assert engine.table("tx").count() == last
+    assert {(r.tx_id, r.fail_reason) for r in engine.table("tx").collect()} == {(r.tx_id, r.fail_reason) for r in batch.tx.collect()}
+    assert {(r.account_id, r.balance) for r in engine.accounts().collect() if r.balance} == {(r.account_id, r.balance) for r in state.balances(batch.entries).collect() if r.balance}
+    assert sum(r.n for r in ledger_stream.segments_seen(engine.table("tx"), 200).collect()) == last
