@@ -5,7 +5,7 @@ smallest (pair rank, position) below them, so its root is the leftmost pair of m
 the merged pair and of its live left neighbour and their ancestors, which is logarithmic in the word's length. Words of
 up to WIDE bytes are merged many at a time, each in a tree of its own with one NumPy step for all of them; longer ones one
 by one. A worker keeps the ids of the chunks between spaces it met, up to about CACHE_BYTES, then starts anew; texts are
-taken in runs of PIECE_BYTES, so that memory is bounded by these two and the longest text.
+taken in runs of RUN_BYTES, so that memory is bounded by these two and the longest text.
 
 Mapping Arrow batches needs no shuffle. Defined cases: a null text is empty and has no ids; texts and words may be of any
 length; repeated rows are encoded alike; other columns are not read.
@@ -17,6 +17,7 @@ import base64
 import hashlib
 import re
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import keep, table, text_runs
+from tallyforge.llm.common import keep, runs_of, table, text_list
 
 WIDE = 32
 CACHE_BYTES = 32 << 20
@@ -53,11 +54,17 @@ class Coder:
             tokens[i] = token
         self.token_bytes = Ragged(tokens)
         self.decimals = Ragged([b",%d" % i for i in range(self.n_ids)])
-        pairs = [(ranks[a] * self.n_ids + ranks[b], i) for t, i in ranks.items() for k in range(1, len(t)) if (a := t[:k]) in ranks and (b := t[k:]) in ranks]
-        pairs.sort()
-        self.pair_keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
-        self.pair_ranks = np.array([r for _, r in pairs] + [0], np.int64)
-        self.pairs = dict(pairs)
+        self.tokens = tokens
+        keys, made = array("q"), array("q")
+        for t, i in ranks.items():
+            for k in range(1, len(t)):
+                a, b = ranks.get(t[:k]), ranks.get(t[k:])
+                if a is not None and b is not None:
+                    keys.append(a * self.n_ids + b)
+                    made.append(i)
+        keys, made = np.frombuffer(keys, np.int64), np.frombuffer(made, np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(made[order], 0)
         self.forget()
 
     def forget(self) -> None:
@@ -114,12 +121,12 @@ class Coder:
 
     def merge_one(self, word: bytes) -> np.ndarray:
         """Ids of one long word with the same tree, in plain Python."""
-        n, ids, pairs, k = len(word), self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.pairs, self.n_ids
+        n, ids, tokens, known = len(word), self.byte_ids[np.frombuffer(word, np.uint8)].tolist(), self.tokens, self.ranks.get
         width, none = 1 << (n - 1).bit_length(), int(NONE)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         tree = [none * width] * (2 * width)
         for i in range(n - 1):
-            tree[width + i] = pairs.get(ids[i] * k + ids[i + 1], none) * width + i
+            tree[width + i] = known(tokens[ids[i]] + tokens[ids[i + 1]], none) * width + i
         for node in range(width - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
         while (top := tree[1]) < none * width:
@@ -130,9 +137,9 @@ class Coder:
             if after >= 0:
                 left[after] = at
             before = left[at]
-            new = [(gone, none), (at, pairs.get(rank * k + ids[after], none) if after >= 0 else none)]
+            new = [(gone, none), (at, known(tokens[rank] + tokens[ids[after]], none) if after >= 0 else none)]
             if before >= 0:
-                new.append((before, pairs.get(ids[before] * k + rank, none)))
+                new.append((before, known(tokens[ids[before]] + tokens[rank], none)))
             for i, r in new:
                 node = width + i
                 tree[node] = r * width + i
@@ -248,18 +255,17 @@ def encode_decode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for batch in batches:
+        for batch in runs_of(batches, 1):
             counts, ids_sha, text_sha, lists = [], [], [], []
-            for texts in text_runs(batch.column(1)):
-                ids, off = c.encode(texts)
-                raw, ends = c.decode(ids)
-                told, marks = c.decimals.joined(ids)
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    counts.append(b - a)
-                    ids_sha.append(hashlib.sha256(told[marks[a] + 1 : marks[b]]).hexdigest())
-                    text_sha.append(hashlib.sha256(raw[ends[a] : ends[b]]).hexdigest())
-                    if with_ids:
-                        lists.append(ids[a:b])
+            ids, off = c.encode(text_list(batch.column(1)))
+            raw, ends = c.decode(ids)
+            told, marks = c.decimals.joined(ids)
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                counts.append(b - a)
+                ids_sha.append(hashlib.sha256(told[marks[a] + 1 : marks[b]]).hexdigest())
+                text_sha.append(hashlib.sha256(raw[ends[a] : ends[b]]).hexdigest())
+                if with_ids:
+                    lists.append(ids[a:b])
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

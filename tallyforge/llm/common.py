@@ -13,8 +13,9 @@ from tallyforge.scratch import drop_persisted, persist, scratch_dir
 
 __all__ = ["drop_persisted", "persist", "scratch_dir"]
 
-#: Bytes of text handled at once; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 20
+#: Bytes of text handled at once; a longer text is a piece of its own. NumPy work takes some hundred bytes of memory for each.
+PIECE_BYTES = 1 << 18
+RUN_BYTES = 1 << 20
 #: The pattern of a word in all operators: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +43,11 @@ def keep(key: tuple, make: Callable):
     return _kept[key]
 
 
+def only(operator: str) -> None:
+    """Let go of what other operators kept in this worker."""
+    keep((operator,), lambda: None)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null. Only byte-length arithmetic: no array of words is built."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -74,10 +80,16 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def text_runs(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[list[str]]:
-    """The texts of a column as lists of at most limit bytes, or of one longer text; null is empty."""
-    for lo, hi, _, _ in pieces(column, limit):
-        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+def runs_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most RUN_BYTES in the given column of texts, or one longer text."""
+    for batch in batches:
+        for lo, hi, _, _ in pieces(batch.column(text), RUN_BYTES):
+            yield batch.slice(lo, hi - lo)
+
+
+def text_list(column: pa.Array) -> list[str]:
+    """The texts of a column; null is empty."""
+    return [t or "" for t in column.to_pylist()]
 
 
 def powers(n: int) -> np.ndarray:

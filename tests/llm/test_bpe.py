@@ -55,13 +55,25 @@ def test_leftmost_of_equal_ranks_and_both_trees_agree(coder):
 
 
 def test_a_full_cache_starts_anew(encoding, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1000)
     c = bpe.Coder(*bpe.default_vocabulary())
     for k in range(6):
         t = " ".join(f"word{k}{i}" for i in range(8))
         assert c.encode([t])[0].tolist() == encoding.encode_ordinary(t)
 
 
+def test_the_cache_is_bounded_by_bytes(encoding, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 200_000)
+    c, most = bpe.Coder(*bpe.default_vocabulary()), 0
+    for k in range(60):
+        t = " ".join(f"{k}{i}" + "qz" * 1000 for i in range(10))
+        ids = c.encode([t])[0].tolist()
+        most = max(most, c.ids.nbytes + sum(map(len, c.known)))
+        if k % 20 == 0:
+            assert ids == encoding.encode_ordinary(t)
+    assert most < 1_000_000
+
+
 def sha(data):
     return hashlib.sha256(data).hexdigest()
 
