@@ -4,8 +4,8 @@ For each language, a suffix automaton of a bounded piece of labelled text. A tex
 right into longest matches; the language with the fewest phrases, normalised to bits by the logarithm of its training
 length, wins (ties: the smallest code). Texts are lower-cased and every run of non-letters counts as one space. A text is
 one parse from its first to its last symbol. To parse many at once in NumPy it is laid out in segments, each first parsed
-from the start state; then every segment is parsed anew from the state that its predecessor ended in, until the two
-parses meet, which they do soon, or else into the next segment.
+from a guess, the state after the last WARM symbols before it; where that is not the state in which its predecessor ended,
+the segment is parsed anew from there until the two parses meet, or else into the next segment.
 
 Learning reads only text and lang of documents that are not held out: per language at most DOCS whole rows, those with
 the smallest id hash among texts of up to COMMON characters (longer ones only if there are too few), as long as they have
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import is_held_out, keep, table, text_runs
+from tallyforge.llm.common import is_held_out, keep, runs_of, table, text_list
 
 DOCS, COMMON, TRAIN_CHARS = 48, 2000, 48_000
-#: Symbols of a segment; the result does not depend on it.
-SEGMENT = 256
+#: Symbols of a segment and of a guess; the result does not depend on them.
+SEGMENT, WARM = 512, 64
 UND = "und"
 #: Documents below this score are rejected by the filter.
 MIN_SCORE = 0.3
@@ -101,12 +101,13 @@ class Parser:
         for t in texts:
             go = automaton(code[t].tolist(), width)
             # An entry is 4 x (next state x width) + the phrases that end with this symbol.
-            start = go[0]
-            fall = np.where(start >= 0, start * np.int64(4 * width) + 1, 2)
-            step = np.where(go >= 0, go * np.int64(4 * width), fall[None, :])
-            step[0] = np.where(start >= 0, start * np.int64(4 * width), 1)
-            step[:, self.pad] = np.arange(len(go)) * np.int64(4 * width)
-            self.tables.append(step.astype(np.int64 if step.max() > 2**31 - 1 else np.int32).ravel())
+            kind = np.int32 if 4 * width * len(go) < 2**31 else np.int64
+            start, go = go[0].copy(), go.astype(kind, copy=False)
+            fall = np.where(start >= 0, start * kind(4 * width) + 1, 2).astype(kind)
+            step = np.where(go >= 0, go * kind(4 * width), fall[None, :])
+            step[0] = np.where(start >= 0, start * kind(4 * width), 1)
+            step[:, self.pad] = np.arange(len(go), dtype=kind) * kind(4 * width)
+            self.tables.append(step.ravel())
             self.bits.append(np.log2(max(2, len(t))))
 
     def symbols(self, text: str) -> np.ndarray:
@@ -154,14 +155,18 @@ def parsed(step: np.ndarray, used: np.ndarray, first: np.ndarray) -> tuple[np.nd
     """Phrases that end in each segment (a column of used), and the state after it; first marks the segments that begin a text."""
     n = used.shape[1]
     path = np.empty(used.shape, step.dtype)
-    state, ended = np.zeros(n, step.dtype), np.zeros(n, np.int32)
+    begun = np.zeros(n, step.dtype)
+    for row in used[-WARM:]:
+        begun[1:] = step.take(begun[1:] + row[:-1]) >> 2
+    begun[first[:n]] = 0
+    state, ended = begun.copy(), np.zeros(n, np.int32)
     for t, row in enumerate(used):
         state += row
         got = step.take(state)
         ended += got & 3
         state = got >> 2
         path[t] = state
-    begun, end = np.zeros(n, step.dtype), path[-1]
+    end = path[-1]
     todo = np.flatnonzero(~first[:n])
     while len(todo):
         todo = todo[end[todo - 1] != begun[todo]]
@@ -213,9 +218,8 @@ def identify(docs: DataFrame, training: tuple[tuple[str, str], ...], id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(training)
-        for batch in batches:
-            found = [p.predict(texts) for texts in text_runs(batch.column(at))]
-            names, scores = [n for part, _ in found for n in part], np.concatenate([np.zeros(0), *(part for _, part in found)])
+        for batch in runs_of(batches, at):
+            names, scores = p.predict(text_list(batch.column(at)))
             if keep_from is not None:
                 yield batch.filter(pa.array([n != UND and s >= keep_from for n, s in zip(names, scores, strict=True)], pa.bool_()))
             else:

@@ -9,15 +9,13 @@ DOCS = "doc_id long, text string, lang string, source string, score string, held
 
 
 def phrases(text, training):
-    """Phrases of the greedy parse of a text into longest substrings of the training text, within segments."""
-    n = 0
-    for lo in range(0, len(text), langid.SEGMENT):
-        part, at = text[lo : lo + langid.SEGMENT], 0
-        while at < len(part):
-            end = at + 1
-            while end <= len(part) and part[at:end] in training:
-                end += 1
-            at, n = max(end - 1, at + 1), n + 1
+    """Phrases of the greedy parse of a whole text into longest substrings of the training text."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in training:
+            end += 1
+        at, n = max(end - 1, at + 1), n + 1
     return n
 
 
@@ -25,7 +23,7 @@ def spaced(text):
     out = []
     for c in text:
         out.append(c.lower()[0] if c.isalpha() else " ")
-    return " ".join("".join(out).split(" ")).strip() if False else " ".join("".join(out).split())
+    return " ".join("".join(out).split())
 
 
 TRAINING = (("en", "the cat sat on the mat and the dog ran to the house with the red door"), ("fr", "le chat est sur la table et le chien court vers la maison avec la porte rouge"))
@@ -38,6 +36,18 @@ def test_phrase_counts(text):
     assert got.tolist() == [phrases(spaced(text), t) for _, t in TRAINING]
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 7, 64])
+def test_segments_do_not_cut_a_parse(monkeypatch, segment):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    long = " ".join(TRAINING[0][1] for _ in range(3))
+    training = (("en", " ".join([TRAINING[0][1]] * 4)), TRAINING[1])
+    p, rng = langid.Parser(training), np.random.default_rng(8)
+    texts = [long, long[7:], *("".join(rng.choice(list("thecarmgo nd"), int(n))) for n in rng.integers(1, 300, 40))]
+    texts = [spaced(t) for t in texts if spaced(t)]
+    got = p.phrases([p.symbols(t) for t in texts])
+    assert got.tolist() == [[phrases(t, x) for _, x in training] for t in texts]
+
+
 def test_many_texts_at_once_count_as_one_by_one():
     p, rng = langid.Parser(TRAINING), np.random.default_rng(5)
     texts = ["".join(rng.choice(list("thecarmgodnuls "), int(n))) for n in rng.integers(1, 900, 60)]
@@ -90,3 +100,12 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, ()).collect()} == {"und"}
     assert langid.identify(docs.limit(0), TRAINING).count() == 0
     assert langid.learn(docs.limit(0)) == ()
+
+
+def test_learning_takes_whole_texts_within_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "COMMON", 30)
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 45)
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "long " * 40 if i % 2 else f"short text {chr(97 + i % 26)}", "en", "s", None, None) for i in ids] + [(i, "seul " * 40, "fr", "s", None, None) for i in ids[:3]]
+    (_, en), (_, fr) = langid.learn(spark.createDataFrame(rows, DOCS))
+    assert fr == ("seul " * 40).strip() and "long" not in en and 1 <= en.count("short text ") <= 3
