@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import MIX, is_held_out, per_row, pieces, row_starts, run_hashes, word_hashes
+from tallyforge.llm.common import MIX, is_held_out, only, per_row, pieces, row_starts, run_hashes, runs_of, word_hashes
 
 BITS = 17
 FAMILIES = 4
@@ -121,6 +121,7 @@ def margins(model: Model, buf: np.ndarray, off: np.ndarray, words) -> np.ndarray
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(good, buckets, values) of labelled rows; buckets and values as bytes."""
+    only("quality")
     for batch in batches:
         good, part = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, hi, buf, off in pieces(batch.column(2)):
@@ -205,7 +206,8 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
     at = source.columns.index(text_col if keep_columns else "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only("quality")
+        for batch in runs_of(batches, at):
             parts: list[dict[str, np.ndarray]] = []
             for _, _, buf, off in pieces(batch.column(at)):
                 words = word_hashes(buf, off)
