@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import MIX, drop_persisted, persist, pieces, table, word_hashes
+from tallyforge.llm.common import MIX, drop_persisted, only, persist, pieces, runs_of, table, word_hashes
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -88,16 +88,10 @@ def document_counts(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
+        only("jaccard")
         for batch in batches:
-            held, size = [], 0
             for s in sets_of(batch.column(0)):
-                held.append(s)
-                size += len(s)
-                if size > 1 << 20:
-                    total += np.bincount(bucket(np.concatenate(held)), minlength=len(total)).astype(np.int32)
-                    held, size = [], 0
-            if held:
-                total += np.bincount(bucket(np.concatenate(held)), minlength=len(total)).astype(np.int32)
+                np.add.at(total, bucket(s), 1)
         if total.any():
             blocks = total.reshape(-1, 1 << BLOCK_BITS)
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(blocks)), pa.int32()), "counts": pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())})
@@ -141,7 +135,8 @@ def sized(docs: DataFrame) -> DataFrame:
     """(id, n, s1, s2) of docs (id, text): size and signatures of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only("jaccard")
+        for batch in runs_of(batches, 1):
             sets = list(sets_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), *signs(sets)], names=["id", *SET])
 
@@ -152,7 +147,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(id, th, n, s1, s2, g, prefix, odd, bits) of docs (id, th, text) with words: g is a hash of prefix and size, odd and bits are parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in runs_of(batches, 2):
             where, sets, heads = [], [], []
             for i, s in enumerate(sets_of(batch.column(2))):
                 if len(s):
@@ -329,3 +324,18 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
+
+
+#: Every pair of documents that share a shingle, and components by spreading smaller ids along links.
+OP4_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+u AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS x FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_have >= 80 * (na.n + nb.n - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b)
+SELECT d.doc_id, COALESCE(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) c ON c.id = d.doc_id
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.OP6_SQL, "op8_nearest_neighbours": ann.OP8_SQL}
+    return {"op4_jaccard_join": jaccard.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op8_nearest_neighbours": ann.OP8_SQL}
