@@ -25,18 +25,23 @@ from tallyforge import schemas as S
 from tallyforge.functions.flags import status
 from tallyforge.operators.dedup import duplicates
 from tallyforge.operators.prefix import balances_along, running_sum
+from tallyforge.operators.programs import Program, flag_changes, key_changes, linked_of, registrations, resolve
 from tallyforge.scratch import drop_persisted, persist
 from tallyforge.sources.profiles import SEGMENT, segment_of
 
 
 @dataclass
 class Ledger:
-    """The tables that one execution of operations makes."""
+    """The tables that one execution of operations makes; the last four only with programs."""
 
     tx: DataFrame
     entries: DataFrame
     tx_links: DataFrame
     opens: DataFrame
+    link_events: DataFrame | None = None
+    flag_changes: DataFrame | None = None
+    kv_events: DataFrame | None = None
+    fn_events: DataFrame | None = None
 
 
 def open_ranges(opened: DataFrame, segment: int = SEGMENT, first: int = 1) -> DataFrame:
@@ -90,12 +95,17 @@ def scan_accounts(legs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(scan, "tx_id long, ok boolean")
 
 
-def judge(moves: DataFrame) -> DataFrame:
-    """(tx_id, ok) of every withdrawal and transfer among moves (tx_id, src, dst, amount); src or dst is null outside users."""
+def judge(moves: DataFrame, legs: DataFrame | None = None) -> DataFrame:
+    """(tx_id, ok) of every payment among moves (tx_id, src, dst, amount); src or dst is null outside users.
+
+    legs (account_id, tx_id, amount) are further incoming legs of payments.
+    """
     out = moves.where("src IS NOT NULL").select(F.col("src").alias("account_id"), "tx_id", F.lit(True).alias("out"), "amount", F.lit(True).alias("ok"))
     into = moves.where("dst IS NOT NULL").select(F.col("dst").alias("account_id"), "tx_id", F.lit(False).alias("out"), "amount", F.lit(True).alias("ok"), F.col("src").isNotNull().alias("waits"))
+    if legs is not None:
+        into = into.unionByName(legs.select("account_id", "tx_id", F.lit(False).alias("out"), "amount", F.lit(True).alias("ok"), F.lit(True).alias("waits")))
     into = into.join(out.select("account_id").distinct(), "account_id", "left_semi")
-    if moves.where("src IS NOT NULL AND dst IS NOT NULL").isEmpty():
+    if legs is None and moves.where("src IS NOT NULL AND dst IS NOT NULL").isEmpty():
         return scan_accounts(out.unionByName(into.drop("waits")))
     out, into = persist(out, "fold-out"), persist(into.select("account_id", "tx_id", "out", "amount", "ok", "waits"), "fold-in")
     known = persist(scan_accounts(out.unionByName(into.drop("waits"))).withColumn("changed", ~F.col("ok")), "fold-judged")
@@ -110,9 +120,11 @@ def judge(moves: DataFrame) -> DataFrame:
     return known.select("tx_id", "ok")
 
 
-def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT, ts_ns: int = 0, accounts: DataFrame | None = None, next_account: int = 1, prior: DataFrame | None = None) -> Ledger:
+def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT, ts_ns: int = 0, accounts: DataFrame | None = None, next_account: int = 1, prior: DataFrame | None = None, programs: dict[str, Program] | None = None) -> Ledger:
     """Run operations (schemas.OPS, gap-free or not) of kinds OpenAccount, Deposit, Withdrawal, Transfer and NewTerm.
 
+    With programs also FunctionRegistration and Function.
+
     A user's account must have been opened by an earlier transaction, else ACCOUNT_NOT_FOUND; SYSTEM cannot be named. An
     amount of 0 is accepted, a negative one is an INVALID_OPERATION. A transfer to the same account succeeds without entries.
     An execution may go on from another: from its accounts (account_id, balance, flags), the next account id, and the prior
@@ -136,20 +148,28 @@ def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT,
     there = lambda who: F.col(who).isNull() | F.coalesce(F.col(f"{who}_open") < F.col("tx_id"), F.lit(False))
     moving = F.col("op").isin("Deposit", "Withdrawal", "Transfer")
     named = (F.col("op") == "Deposit") & F.col("dst").isNull() | (F.col("op") == "Withdrawal") & F.col("src").isNull() | (F.col("op") == "Transfer") & (F.col("src").isNull() | F.col("dst").isNull())
+    kinds, more, calls = ["OpenAccount", "NewTerm"], [], F.lit(False)
+    if programs:
+        kinds, calls = [*kinds, "FunctionRegistration"], F.col("op") == "Function"
+        more = ["f_short", "f_legs", "f_flags", "f_keys"]
+        seen = seen.join(resolve(ops, programs, known.select("account_id", "open_tx_id")), "tx_id", "left")
+        seen = seen.withColumns({"src": F.when(calls & (F.col("f_src") != S.SYSTEM), F.col("f_src")).otherwise(F.col("src")), "amount": F.when(calls, F.col("f_amount")).otherwise(F.col("amount"))})
     early = (
         F.when(F.col("to_tx_id").isNotNull(), S.DUPLICATE)
         .when(moving & F.coalesce(F.col("amount") < 0, F.lit(True)), S.INVALID_OPERATION)
         .when(moving & (named | ~there("src") | ~there("dst")), S.ACCOUNT_NOT_FOUND)
-        .when(~moving & ~F.col("op").isin("OpenAccount", "NewTerm"), S.INVALID_OPERATION)
+        .when(calls, F.col("f_early") if programs else S.INVALID_OPERATION)
+        .when(~moving & ~F.col("op").isin(kinds), S.INVALID_OPERATION)
         .otherwise(S.NONE)
     )
-    seen = persist(seen.select("tx_id", "op", "src", "dst", "amount", "user_ref", "to_tx_id", early.alias("early")), "fold-seen")
-    moves = seen.where("early = 0 AND op IN ('Deposit', 'Withdrawal', 'Transfer') AND NOT (op = 'Transfer' AND src = dst)")
+    seen = persist(seen.select("tx_id", "op", "src", "dst", "amount", "user_ref", "to_tx_id", *more, early.alias("early")), "fold-seen")
+    moves = seen.where("early = 0 AND op IN ('Deposit', 'Withdrawal', 'Transfer', 'Function') AND NOT (op = 'Transfer' AND src = dst)")
     moved = moves.select("tx_id", "src", "dst", "amount")
     if accounts is not None:
         moved = moved.unionByName(accounts.where("account_id <> 0 AND balance <> 0").select(F.lit(0).cast("long").alias("tx_id"), F.lit(None).cast("long").alias("src"), F.col("account_id").alias("dst"), F.col("balance").alias("amount")))
-    judged = judge(moved)
-    late = F.when(F.col("early") != 0, F.col("early")).when(~F.coalesce("ok", F.lit(True)), S.INSUFFICIENT_FUNDS).otherwise(S.NONE).cast("int")
+    judged = judge(moved, moves.where("op = 'Function'").select("tx_id", F.inline("f_legs")) if programs else None)
+    lacking = F.when(calls, F.col("f_short")).otherwise(S.INSUFFICIENT_FUNDS) if programs else F.lit(S.INSUFFICIENT_FUNDS)
+    late = F.when(F.col("early") != 0, F.col("early")).when(~F.coalesce("ok", F.lit(True)), lacking).otherwise(S.NONE).cast("int")
     done = seen.join(judged, "tx_id", "left").withColumn("fail_reason", late).withColumn("segment_id", segment_of(F.col("tx_id"), segment))
     accepted = done.where("fail_reason = 0 AND op IN ('Deposit', 'Withdrawal', 'Transfer') AND NOT (op = 'Transfer' AND src = dst)")
     system = F.lit(S.SYSTEM).cast("long")
@@ -157,14 +177,27 @@ def execute(ops: DataFrame, dedup_window: int = SEGMENT, segment: int = SEGMENT,
     user_first = F.array(one(0, "DEBIT", F.col("dst")), one(1, "CREDIT", system))
     legs = F.when(F.col("op") == "Deposit", user_first).when(F.col("op") == "Withdrawal", F.array(one(0, "CREDIT", F.col("src")), one(1, "DEBIT", system))).otherwise(F.array(one(0, "CREDIT", F.col("src")), one(1, "DEBIT", F.col("dst"))))
     entries = accepted.select("tx_id", "amount", "segment_id", F.inline(legs))
-    followers = F.when(F.col("fail_reason") == S.DUPLICATE, 1).when(F.col("fail_reason") != 0, 0).when(F.col("op").isin("OpenAccount", "NewTerm"), 1).when((F.col("op") == "Transfer") & (F.col("src") == F.col("dst")), 0).otherwise(2)
+    ran = links_made = None
+    if programs:
+        ran = persist(done.where("fail_reason = 0 AND op = 'Function'").select("tx_id", F.coalesce("src", system).alias("src"), "amount", "segment_id", "f_legs", "f_flags", "f_keys"), "fold-programs")
+        paid = ran.select("tx_id", "amount", "segment_id", F.lit(0).alias("seq"), F.lit("CREDIT").alias("kind"), F.col("src").alias("account_id"))
+        got = ran.select("tx_id", "segment_id", F.posexplode("f_legs").alias("seq", "leg")).select("tx_id", "leg.amount", "segment_id", (F.col("seq") + 1).alias("seq"), F.lit("DEBIT").alias("kind"), "leg.account_id")
+        entries = entries.unionByName(paid).unionByName(got)
+        links_made = persist(linked_of(entries, opens.agg(F.coalesce(F.max(F.col("begin_account_id") + F.col("count")), F.lit(next_account))).first()[0]), "fold-linked")
+        to = links_made.select(F.col("handle").alias("account_id"), "child_id")
+        entries = entries.join(to, "account_id", "left").withColumn("account_id", F.coalesce("child_id", "account_id")).drop("child_id")
+    followers = F.when(F.col("fail_reason") == S.DUPLICATE, 1).when(F.col("fail_reason") != 0, 0).when(F.col("op").isin(kinds), 1)
+    if programs:
+        followers = followers.when(calls, 1 + F.size("f_legs") + F.size("f_flags") + F.size("f_keys"))
+    followers = followers.when((F.col("op") == "Transfer") & (F.col("src") == F.col("dst")), 0).otherwise(2)
     tag = F.when(F.col("fail_reason") == S.DUPLICATE, S.DUPLICATE_TAG)
     for op, name in S.TAGS.items():
         tag = tag.when(F.col("op") == op, name)
     tx = done.select("tx_id", "fail_reason", followers.cast("int").alias("sub_item_count"), F.lit(ts_ns).cast("long").alias("ts_ns"), "user_ref", tag.alias("tag"), "segment_id")
     tx_links = links.select("tx_id", F.lit("Duplicate").alias("kind"), "to_tx_id")
+    further = (links_made.drop("handle"), flag_changes(ran), key_changes(ran), registrations(ops, programs)) if programs else ()
     if accounts is None:
-        return Ledger(tx, balances_along(entries), tx_links, opens)
+        return Ledger(tx, balances_along(entries), tx_links, opens, *further)
     held = accounts.where("balance <> 0").join(entries.select("account_id").distinct(), "account_id", "left_semi")
     base = held.select(F.lit(0).cast("long").alias("tx_id"), F.abs("balance").alias("amount"), F.lit(0).cast("long").alias("segment_id"), F.lit(0).alias("seq"), F.when(F.col("balance") >= 0, "DEBIT").otherwise("CREDIT").alias("kind"), "account_id")
-    return Ledger(tx, balances_along(entries.unionByName(base)).where("tx_id > 0"), tx_links, opens)
+    return Ledger(tx, balances_along(entries.unionByName(base)).where("tx_id > 0"), tx_links, opens, *further)

@@ -1,247 +1,141 @@
-"""User programs: transactions written in Python.
+"""User programs: transactions of several entries, declared as column expressions over their parameters.
 
-A program has ``execute(ctx, params) -> int`` (0 succeeds, other codes fail the transaction) and may have ``register(ctx)``,
-which may only register constants. All its effects are undone together when it fails, raises, does not sum to zero or makes
-more than MAX_ENTRIES records.
+A program names who pays how much, who gets what, and which flags and keys it sets. It succeeds if the payer's balance covers
+the amount; then all its effects hold, else none. That is one outgoing leg and some incoming ones, so programs run in the same
+fold as transfers: accounts are scanned side by side, and no state of a ledger is ever held by one task.
 
-Programs may touch any account, so order matters among those that share something. Each operation therefore carries
-``shard``: operations of one shard run in their order on one state, shards run side by side. A shard is what a user's
-programs keep apart (a tenant, a currency, a component of accounts that never meet); its state is held by one task.
-Accounts made by ``linked_account`` and constants get their ids afterwards, in transaction order over all shards; while a
-program runs it sees a handle (a negative number) in their place.
+An account may be given as Linked(parent, type): the account linked to a parent under a type, made when a program that
+succeeds first mentions it. Until then it goes by a negative number made of parent and type. SYSTEM may pay without limit.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge import schemas as S
 from tallyforge.functions.text import is_function_name
+from tallyforge.operators.prefix import row_numbers
 
-CONST_BIT = 1 << 31
-
-
-class Fail(Exception):
-    def __init__(self, code: int):
-        self.code = code
-
-
-@dataclass
-class State:
-    """What a shard knows: balances, flags, links, keys and constants."""
-
-    balances: dict[int, int] = field(default_factory=dict)
-    flags: dict[int, int] = field(default_factory=dict)
-    links: dict[tuple[int, int], int] = field(default_factory=dict)
-    kv: dict[tuple[int, ...], int] = field(default_factory=dict)
-    constants: dict[str, int] = field(default_factory=dict)
-    handles: int = 0
-
-
-class Context:
-    """What a program can see and do; every change notes how to take it back."""
-
-    def __init__(self, state: State, registering: bool = False):
-        self.state, self.registering, self.undo, self.records, self.balance_of_debits = state, registering, [], [], 0
-
-    def _set(self, table: dict, key, value) -> None:
-        had, old = key in table, table.get(key)
-        self.undo.append(lambda: table.__setitem__(key, old) if had else table.pop(key, None))
-        table[key] = value
-
-    def _allowed(self) -> None:
-        if self.registering:
-            raise Fail(S.PROHIBITED_HOST_CALL)
-
-    def _move(self, account: int, amount: int, sign: int, kind: str) -> None:
-        self._allowed()
-        if account != S.SYSTEM and not self.state.flags.get(account, 0) & 255:
-            raise Fail(S.ACCOUNT_NOT_FOUND)
-        after = self.state.balances.get(account, 0) + sign * amount
-        self._set(self.state.balances, account, after)
-        self.balance_of_debits += sign * amount
-        self.records.append(("entry", kind, account, amount, after))
-
-    def debit(self, account: int, amount: int) -> None:
-        self._move(account, amount, 1, "DEBIT")
-
-    def credit(self, account: int, amount: int) -> None:
-        """No floor: a program may overdraw an account."""
-        self._move(account, amount, -1, "CREDIT")
-
-    def get_balance(self, account: int) -> int:
-        return self.state.balances.get(account, 0)
-
-    def linked_account(self, parent: int, type_id: int) -> int:
-        self._allowed()
-        found = self.state.links.get((parent, type_id))
-        if found is None:
-            self.state.handles -= 1
-            found = self.state.handles
-            self.undo.append(lambda: setattr(self.state, "handles", self.state.handles + 1))
-            self._set(self.state.links, (parent, type_id), found)
-            self._set(self.state.flags, found, S.PROGRAMMED)
-            self.records.append(("link", "", parent, type_id, found))
-        return found
-
-    def get_flag(self, account: int, lane: int) -> int:
-        return self.state.flags.get(account, 0) >> 8 * lane & 255
-
-    def has_flag(self, account: int, lane: int, value: int) -> bool:
-        return self.get_flag(account, lane) == value
-
-    def set_flag(self, account: int, lane: int, value: int) -> None:
-        self._allowed()
-        old = self.state.flags.get(account, 0)
-        new = old & ~(255 << 8 * lane) | (value & 255) << 8 * lane
-        if new != old:
-            self._set(self.state.flags, account, new)
-            self.records.append(("flag", "", account, old, new))
-
-    @staticmethod
-    def key(*parts: int) -> tuple[int, int, int, int]:
-        """Four components, the missing ones 0."""
-        return (*parts, *[0] * (4 - len(parts)))
-
-    def kv_get(self, *key: int) -> int:
-        return self.state.kv.get(self.key(*key), 0)
-
-    def kv_set(self, key: tuple[int, ...], value: int) -> None:
-        self._allowed()
-        self._set(self.state.kv, self.key(*key), value)
-        self.records.append(("kv", "/".join(map(self._name, self.key(*key))), 0, 0, value))
-
-    def _name(self, part: int) -> str:
-        names = {v: k for k, v in self.state.constants.items()}
-        return names.get(part & ~CONST_BIT, "") if part & CONST_BIT else str(part)
-
-    def kv_register_constant(self, name: str) -> int:
-        if len(name.encode()) > 32:
-            raise Fail(S.CONSTANT_NAME_TOO_LONG)
-        if name not in self.state.constants:
-            self._set(self.state.constants, name, len(self.state.constants) + 1)
-            self.records.append(("constant", name, self.state.constants[name], 0, 0))
-        return self.state.constants[name] | CONST_BIT
-
-    def kv_get_constant(self, name: str) -> int:
-        if name not in self.state.constants:
-            raise Fail(S.CONSTANT_NOT_FOUND)
-        return self.state.constants[name] | CONST_BIT
+
+
+class Params:
+    """The parameters of a call; one that is missing is null."""
+
+    def __init__(self, array: Column):
+        self.array = array
+
+    def __getitem__(self, k: int) -> Column:
+        return F.get(self.array, F.lit(k))
+
+
+Expression = Callable[[Params], Column]
+#: Width in transactions of the blocks by which calls meet registrations.
+BLOCK = 10_000
+TYPES = 256
+
+
+@dataclass(frozen=True)
+class Linked:
+    parent: Expression
+    type_id: int
 
 
 @dataclass(frozen=True)
 class Program:
-    execute: Callable[[Context, list[int]], int]
-    register: Callable[[Context], None] | None = None
+    """Each expression takes the parameters. gets must add up to the amount paid; short is the code of a payer who lacks it."""
+
+    payer: Expression | Linked
+    amount: Expression
+    gets: tuple[tuple[Expression | Linked, Expression], ...]
+    short: int = S.INSUFFICIENT_FUNDS
+    flags: tuple[tuple[Expression, int, Expression], ...] = ()
+    keys: tuple[tuple[Expression, Expression], ...] = ()
     source: bytes = b""
 
-
-def run_one(state: State, op: dict, programs: dict[str, Program], live: dict[str, int]) -> tuple[int, list[tuple]]:
-    """Fail reason and records of one operation; the state is as before if it fails."""
-    ctx = Context(state, registering=op["op"] == "FunctionRegistration")
-    try:
-        code = _apply(ctx, op, programs, live)
-    except Fail as e:
-        code = e.code
-    except Exception:  # noqa: BLE001  whatever a program raises fails its transaction
-        code = S.INVALID_OPERATION
-    if not code and ctx.balance_of_debits:
-        code = S.ZERO_SUM_VIOLATION
-    if not code and len(ctx.records) > S.MAX_ENTRIES:
-        code = S.ENTRY_LIMIT_EXCEEDED
-    if code:
-        for back in reversed(ctx.undo):
-            back()
-    return code, [] if code else ctx.records
-
-
-def _apply(ctx: Context, op: dict, programs: dict[str, Program], live: dict[str, int]) -> int:
-    kind, amount = op["op"], op["amount"] or 0
-    if kind == "OpenAccount":
-        begin = op["account"]
-        for a in range(begin, begin + max(1, op["count"] or 1)):
-            ctx._set(ctx.state.flags, a, S.OPEN)
-        ctx.records.append(("open", "", begin, max(1, op["count"] or 1), 0))
-        return 0
-    if kind in ("Deposit", "Withdrawal", "Transfer"):
-        src, dst = (None, op["account"]) if kind == "Deposit" else (op["account"], None) if kind == "Withdrawal" else (op["from"], op["to"])
-        for a in (src, dst):
-            if a is not None and ctx.state.flags.get(a, 0) & 255 != S.OPEN:
-                return S.ACCOUNT_NOT_FOUND
-        if kind == "Transfer" and src == dst:
-            return 0
-        if src is not None and ctx.get_balance(src) < amount:
-            return S.INSUFFICIENT_FUNDS
-        if kind == "Deposit":
-            ctx.debit(dst, amount)
-            ctx.credit(S.SYSTEM, amount)
-        else:
-            ctx.credit(src, amount)
-            ctx.debit(S.SYSTEM if dst is None else dst, amount)
-        return 0
-    if kind == "FunctionRegistration":
-        program = programs.get(op["fn_name"])
-        if program is None:
-            live.pop(op["fn_name"], None)
-        else:
-            if program.register:
-                program.register(ctx)
-            live[op["fn_name"]] = zlib.crc32(program.source)
-        ctx.records.append(("function", op["fn_name"], live.get(op["fn_name"], 0), 0, 0))
-        return 0
-    if kind == "Function":
-        if op["fn_name"] not in live:
-            return S.INVALID_OPERATION
-        return programs[op["fn_name"]].execute(ctx, list(op["params"] or [])) & 255
-    return S.INVALID_OPERATION
-
-
-EFFECTS = "shard string, tx_id long, seq int, fail_reason int, type string, name string, a long, b long, c long"
-
-
-def run_programs(ops: DataFrame, programs: dict[str, Program]) -> DataFrame:
-    """EFFECTS of operations (schemas.OPS and shard): a row for each record, or one of type ``tx`` for a transaction with none.
-
-    OpenAccount names its first id in ``account``. Rows stream through in order; what a task holds is its shards' state.
-    """
-    names = ["shard", "tx_id", "op", "account", "from", "to", "amount", "count", "fn_name", "params"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, state, live = None, State(), {}
-        for batch in batches:
-            out = []
-            for op in batch.to_pylist():
-                if op["shard"] != shard:
-                    shard, state, live = op["shard"], State(), {}
-                code, records = run_one(state, op, programs, live)
-                out.append((shard, op["tx_id"], -1, code, "tx", "", len(records), 0, 0))
-                for seq, (kind, name, a, b, c) in enumerate(records):
-                    out.append((shard, op["tx_id"], seq, code, kind, name, a, b, c))
-            columns = list(zip(*out, strict=True)) or [[] for _ in range(9)]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in EFFECTS.split(", ")])
-
-    return ops.select(*names).repartition("shard").sortWithinPartitions("shard", "tx_id").mapInArrow(scan, EFFECTS)
-
-
-def entries_of(effects: DataFrame, high_water: int = 0) -> DataFrame:
-    """Entry rows (tx_id, seq, kind, account_id, amount, computed_balance) with handles replaced by account ids."""
-    ids = linked_of(effects, high_water).select("shard", F.col("handle").alias("a"), "child_id")
-    rows = effects.where("type = 'entry'").join(ids, ["shard", "a"], "left")
-    return rows.select("tx_id", "seq", F.col("name").alias("kind"), F.coalesce("child_id", "a").alias("account_id"), F.col("b").alias("amount"), F.col("c").alias("computed_balance"))
-
-
-def linked_of(effects: DataFrame, high_water: int = 0) -> DataFrame:
-    """(shard, handle, parent_id, type_id, child_id): ids after high_water in transaction order."""
-    made = effects.where("type = 'link'")
-    order = Window.orderBy("tx_id", "seq")  # one row for each account that programs made
-    return made.select("shard", F.col("c").alias("handle"), F.col("a").alias("parent_id"), F.col("b").cast("int").alias("type_id"), (F.row_number().over(order) + high_water).cast("long").alias("child_id"), "tx_id", "seq")
+    @property
+    def checksum(self) -> int:
+        return zlib.crc32(self.source) or 1
+
+
+def account_of(who: Expression | Linked, params: Params) -> Column:
+    if isinstance(who, Linked):
+        return (-(who.parent(params) * TYPES + who.type_id) - 1).cast("long")
+    return who(params).cast("long")
+
+
+def registrations(ops: DataFrame, programs: dict[str, Program]) -> DataFrame:
+    """FN_EVENTS of FunctionRegistration operations: a name without a program is unregistered (a checksum of 0); bad names are dropped."""
+    crc = F.lit(0)
+    for name, program in programs.items():
+        crc = F.when(F.col("fn_name") == name, program.checksum).otherwise(crc)
+    events = ops.where("op = 'FunctionRegistration'").select("tx_id", F.col("fn_name").alias("name"), crc.cast("long").alias("crc32c"))
+    return function_versions(events)
+
+
+def registered(calls: DataFrame, events: DataFrame) -> DataFrame:
+    """calls (tx_id, fn_name, ...) whose name was last registered, not unregistered, before them."""
+    order = Window.partitionBy("name").orderBy("tx_id")  # the registrations of a name
+    last = calls.agg(F.max("tx_id").alias("_last"))
+    spans = events.select("name", F.col("tx_id").alias("_from"), F.lead("tx_id").over(order).alias("_next"), "crc32c").where("crc32c <> 0").crossJoin(F.broadcast(last))  # one row
+    spans = spans.withColumn("_next", F.coalesce("_next", F.col("_last"))).where("_from < _last")
+    spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / BLOCK), F.floor(F.col("_next") / BLOCK)))).select("_b", "name", "_from", "_next")
+    keyed = calls.withColumn("_b", F.floor(F.col("tx_id") / BLOCK))
+    met = (keyed["_b"] == spans["_b"]) & (keyed["fn_name"] == spans["name"]) & (keyed["tx_id"] > spans["_from"]) & (keyed["tx_id"] <= spans["_next"])
+    return keyed.join(spans, met, "left_semi").drop("_b")
+
+
+def resolve(ops: DataFrame, programs: dict[str, Program], known: DataFrame) -> DataFrame:
+    """(tx_id, f_early, f_short, f_src, f_amount, f_legs, f_flags, f_keys) of Function operations; known (account_id, open_tx_id) are the accounts."""
+    calls = ops.where("op = 'Function'").select("tx_id", "fn_name", F.coalesce("params", F.array().cast("array<long>")).alias("p"))
+    live = registered(calls, registrations(ops, programs))
+    p, out = Params(F.col("p")), None
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    for name, program in programs.items():
+        legs = F.array(*[F.struct(account_of(a, p).alias("account_id"), v(p).cast("long").alias("amount")) for a, v in program.gets])
+        flags = F.array(*[F.struct(account_of(a, p).alias("account_id"), F.lit(lane).alias("lane"), v(p).cast("int").alias("value")) for a, lane, v in program.flags]) if program.flags else none("struct<account_id:long,lane:int,value:int>")
+        keys = F.array(*[F.struct(k(p).cast("string").alias("key_str"), v(p).cast("long").alias("value")) for k, v in program.keys]) if program.keys else none("struct<key_str:string,value:long>")
+        rows = live.where(F.col("fn_name") == name).select("tx_id", F.lit(program.short).alias("f_short"), account_of(program.payer, p).alias("f_src"), program.amount(p).cast("long").alias("f_amount"), legs.alias("f_legs"), flags.alias("f_flags"), keys.alias("f_keys"))
+        out = rows if out is None else out.unionByName(rows)
+    named = out.select("tx_id", F.explode(F.concat(F.array("f_src"), F.col("f_legs.account_id"), F.col("f_flags.account_id"))).alias("account_id"))
+    # Of a linked account its parent must be there.
+    named = named.withColumn("account_id", F.when(F.col("account_id") < 0, F.floor((-F.col("account_id") - 1) / TYPES)).otherwise(F.col("account_id"))).where("account_id <> 0")
+    missing = named.join(known, "account_id", "left").where("open_tx_id IS NULL OR open_tx_id >= tx_id").select("tx_id").distinct().withColumn("absent", F.lit(True))
+    total = F.aggregate("f_legs", F.lit(0).cast("long"), lambda a, x: a + x["amount"])
+    least = F.aggregate("f_legs", F.col("f_amount"), lambda a, x: F.least(a, x["amount"]))
+    early = (
+        F.when(F.col("f_src").isNull(), S.INVALID_OPERATION)
+        .when(F.col("absent"), S.ACCOUNT_NOT_FOUND)
+        .when(F.coalesce(total != F.col("f_amount"), F.lit(True)), S.ZERO_SUM_VIOLATION)
+        .when(least < 0, S.INVALID_OPERATION)
+        .when(1 + F.size("f_legs") + F.size("f_flags") + F.size("f_keys") > S.MAX_ENTRIES, S.ENTRY_LIMIT_EXCEEDED)
+        .otherwise(S.NONE)
+    )
+    return calls.select("tx_id").join(out.join(missing, "tx_id", "left"), "tx_id", "left").select("tx_id", early.alias("f_early"), "f_short", "f_src", "f_amount", "f_legs", "f_flags", "f_keys")
+
+
+def linked_of(entries: DataFrame, first: int) -> DataFrame:
+    """LINK_EVENTS, and the number (handle) that stands for each account made: ids from first on in the order of first mention."""
+    made = entries.where("account_id < 0").groupBy("account_id").agg(F.min(F.struct("tx_id", "seq")).alias("at"))
+    code = -F.col("account_id") - 1
+    rows = row_numbers(made.select(F.col("account_id").alias("handle"), "at.tx_id", "at.seq", F.floor(code / TYPES).alias("parent_id"), (code % TYPES).cast("int").alias("type_id")), ["tx_id", "seq"], "child_id", first)
+    return rows.select("handle", "tx_id", "seq", "parent_id", "type_id", "child_id")
+
+
+def flag_changes(done: DataFrame) -> DataFrame:
+    """FLAG_EVENTS without what was before: (tx_id, seq, account_id, lane, value) of accepted programs."""
+    return done.select("tx_id", F.posexplode("f_flags").alias("seq", "f")).select("tx_id", "seq", "f.*")
+
+
+def key_changes(done: DataFrame) -> DataFrame:
+    """KV_EVENTS of accepted programs."""
+    rows = done.select("tx_id", F.posexplode("f_keys").alias("seq", "f"))
+    value = F.struct(F.lit("Int").alias("kind"), F.col("f.value").alias("i"), F.lit(None).cast("string").alias("s"))
+    return rows.select("tx_id", "seq", "f.key_str", F.lit(None).cast("array<struct<kind:string,i:long,s:string>>").alias("key"), value.alias("value"), F.lit(False).alias("is_delete"))
 
 
 def function_versions(events: DataFrame) -> DataFrame:

@@ -513,33 +513,26 @@ def matrix_grid_expected(spark, d):
 # Programs.
 
 
-class _Fee:
-    """Transfer params[2] from params[0] to params[1] with a hundredth, 1 at least, to account 1; fails 130 if short."""
-
-    @staticmethod
-    def execute(ctx, p):
-        fee = max(1, p[2] // 100)
-        if ctx.get_balance(p[0]) < p[2] + fee:
-            return 130
-        ctx.credit(p[0], p[2] + fee)
-        ctx.debit(p[1], p[2])
-        ctx.debit(1, fee)
-        return 0
-
-
-def _fee_ops(spark, d):
-    """Each user has a shard of three accounts (1 takes fees); views pay, anything else deposits."""
+def _fee_program():
+    """Transfer params[2] from params[0] to params[1] with a hundredth, 1 at least, to params[3]; fails 130 if short."""
+    fee = lambda p: F.greatest(F.lit(1), F.expr("get(p, 2) div 100"))
+    return programs.Program(lambda p: p[0], lambda p: p[2] + fee(p), ((lambda p: p[1], lambda p: p[2]), (lambda p: p[3], fee)), short=130, source=b"fee")
+
+
+def _fee_run(spark, d):
+    """Each user has three accounts in a row (the first takes fees); views pay from the second to the third, anything else deposits."""
     e = D.events(spark, d)
     pays = F.col("event_type") == "view"
+    account = lambda k: (3 * F.col("user_id") + k).cast("long")
     amount = F.round(F.col("value") * 100).cast("long")
     null = F.lit(None).cast("long")
     ops = e.select(
-        F.col("user_id").cast("string").alias("shard"), (F.col("event_id") + 3).alias("tx_id"), F.when(pays, "Function").otherwise("Deposit").alias("op"), F.when(~pays, 2).cast("long").alias("account"),
-        null.alias("from"), null.alias("to"), amount.alias("amount"), null.alias("count"), F.when(pays, "fee").alias("fn_name"), F.when(pays, F.array(F.lit(2).cast("long"), F.lit(3).cast("long"), amount)).alias("params"),
+        (F.col("event_id") + 3).alias("tx_id"), F.when(pays, "Function").otherwise("Deposit").alias("op"), F.when(~pays, account(2)).alias("account"), null.alias("from"), null.alias("to"),
+        F.when(~pays, amount).alias("amount"), null.alias("count"), F.when(pays, "fee").alias("fn_name"), F.when(pays, F.array(account(2), account(3), amount, account(1))).alias("params"), F.lit(0).cast("long").alias("user_ref"),
     )
-    shards = e.select(F.col("user_id").cast("string").alias("shard")).distinct()
-    first = lambda t, op, **v: shards.select("shard", F.lit(t).cast("long").alias("tx_id"), F.lit(op).alias("op"), *[v.get(c, F.lit(None)).cast(k).alias(c) for c, k in ops.dtypes[3:]])
-    return first(1, "OpenAccount", account=F.lit(1), count=F.lit(3)).unionByName(first(2, "FunctionRegistration", fn_name=F.lit("fee"))).unionByName(ops)
+    users = e.agg((3 * (F.max("user_id") + 1)).alias("count"))
+    first = lambda t, op, **v: users.select(F.lit(t).cast("long").alias("tx_id"), F.lit(op).alias("op"), *[v.get(c, F.lit(None)).cast(k).alias(c) for c, k in ops.dtypes[2:]])
+    return execute(first(1, "OpenAccount", count=F.col("count")).unionByName(first(2, "FunctionRegistration", fn_name=F.lit("fee"))).unionByName(ops), programs={"fee": _fee_program()})
 
 
 _FEE = """
@@ -557,15 +550,15 @@ f AS (
 
 @register(f"WITH RECURSIVE {_FEE} SELECT u::VARCHAR AS shard, tx_id, code::INT AS fail_reason FROM f WHERE rn > 0")
 def fee_transfer(spark, d):
-    done = programs.run_programs(_fee_ops(spark, d), {"fee": programs.Program(_Fee.execute, source=b"fee")})
-    return done.where("type = 'tx' AND tx_id > 2").select("shard", "tx_id", "fail_reason")
+    shards = D.events(spark, d).select((F.col("event_id") + 3).alias("tx_id"), F.col("user_id").cast("string").alias("shard"))
+    return _fee_run(spark, d).tx.join(shards, "tx_id").select("shard", "tx_id", "fail_reason")
 
 
 @register(f"WITH RECURSIVE {_FEE}, l AS (SELECT u, arg_max(b1, rn) AS b1, arg_max(b2, rn) AS b2, arg_max(b3, rn) AS b3 FROM f GROUP BY 1) SELECT shard, account_id, balance FROM (SELECT u::VARCHAR AS shard, unnest([1::BIGINT, 2, 3]) AS account_id, unnest([b1, b2, b3]) AS balance FROM l) WHERE balance <> 0")
 def fee_balances(spark, d):
-    done = programs.run_programs(_fee_ops(spark, d), {"fee": programs.Program(_Fee.execute, source=b"fee")})
-    last = done.where("type = 'entry' AND a > 0").groupBy("shard", F.col("a").alias("account_id")).agg(F.max_by("c", F.struct("tx_id", "seq")).alias("balance"))
-    return last.where("balance <> 0")
+    last = state.balances(_fee_run(spark, d).entries.where("account_id > 0")).where("balance <> 0")
+    number = F.col("account_id") - 1
+    return last.select(F.expr("(account_id - 1) div 3").cast("string").alias("shard"), (number % 3 + 1).alias("account_id"), "balance")
 
 
 @register(f"SELECT user_id, count(*) AS charges, sum(t - (t * p) // 100)::BIGINT AS charged FROM (SELECT user_id, round(value * 100)::BIGINT AS t, {_K} % 60 AS p FROM events WHERE event_type = 'purchase') GROUP BY 1")

@@ -223,29 +223,36 @@ def test_ndjson_is_an_inverse_and_refuses_broken_groups(spark, tmp_path):
         ndjson.pack(spark, f"file://{tmp_path}/b")
 
 
-def test_programs_roll_back_and_link_accounts(spark):
-    def reserve(ctx, params):
-        account, amount = params[0], params[1]
-        bucket = ctx.linked_account(account, 1)
-        if amount > ctx.get_balance(account):
-            return 130
-        ctx.credit(account, amount)
-        ctx.debit(bucket, amount)
-        return 0
-
-    def lopsided(ctx, params):
-        ctx.debit(params[0], 5)
-        return 0
-
-    known = {"reserve": programs.Program(reserve), "lopsided": programs.Program(lopsided)}
-    rows = [{"op": "OpenAccount", "account": 1, "count": 2}, deposit(1, 1000), {"op": "FunctionRegistration", "fn_name": "reserve"}, {"op": "FunctionRegistration", "fn_name": "lopsided"}]
-    rows += [{"op": "Function", "fn_name": "reserve", "params": [1, 300]}, {"op": "Function", "fn_name": "reserve", "params": [1, 200]}, {"op": "Function", "fn_name": "reserve", "params": [1, 900]}]
-    rows += [{"op": "Function", "fn_name": "lopsided", "params": [1]}, {"op": "Function", "fn_name": "unknown", "params": []}]
-    effects = programs.run_programs(frame(spark, rows).withColumn("shard", F.lit("all")), known).collect()
-    codes = {r.tx_id: r.fail_reason for r in effects if r.type == "tx"}
-    assert codes == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 130, 8: S.ZERO_SUM_VIOLATION, 9: S.INVALID_OPERATION}
-    last = {r.a: r.c for r in sorted(effects, key=lambda r: (r.tx_id, r.seq)) if r.type == "entry"}
-    assert last[1] == 500 and last[0] == -1000 and sorted(last.values()) == [-1000, 500, 500]
+def test_programs_roll_back_link_accounts_and_set_flags_and_keys(spark):
+    bucket = programs.Linked(lambda p: p[0], 1)
+    reserve = programs.Program(lambda p: p[0], lambda p: p[1], ((bucket, lambda p: p[1]),), short=130, flags=((lambda p: p[0], 2, lambda p: p[1] % 100),), keys=((lambda p: F.concat(F.lit("reserved/"), p[0]), lambda p: p[1]),))
+    release = programs.Program(bucket, lambda p: p[1], ((lambda p: p[0], lambda p: p[1]),), short=131)
+    lopsided = programs.Program(lambda p: p[0], lambda p: p[1], ((lambda p: p[2], lambda p: p[1] + 1),))
+    mint = programs.Program(lambda p: F.lit(0), lambda p: p[1], ((lambda p: p[0], lambda p: p[1]),))
+    known = {"reserve": reserve, "release": release, "lopsided": lopsided, "mint": mint}
+    call = lambda name, *params: {"op": "Function", "fn_name": name, "params": list(params)}
+    register = lambda name: {"op": "FunctionRegistration", "fn_name": name}
+    rows = [open_(2), deposit(1, 1000), *map(register, known), call("reserve", 1, 300), call("reserve", 1, 200), call("reserve", 1, 900), call("release", 1, 501), call("release", 1, 450), call("lopsided", 1, 5, 2)]
+    rows += [call("unknown"), call("mint", 2, 70), call("reserve", 2, 70), call("reserve", 9, 1), register("gone"), call("mint", 2)]
+    balances, reasons, ledger = run(spark, rows, programs=known)
+    assert {t: r for t, r in reasons.items() if t > 6} == {7: 0, 8: 0, 9: 130, 10: 131, 11: 0, 12: S.ZERO_SUM_VIOLATION, 13: S.INVALID_OPERATION, 14: 0, 15: 0, 16: S.ACCOUNT_NOT_FOUND, 17: 0, 18: S.ZERO_SUM_VIOLATION}
+    assert balances == {0: -1070, 1: 950, 2: 0, 3: 50, 4: 70}
+    assert {(r.tx_id, r.parent_id, r.type_id, r.child_id) for r in ledger.link_events.collect()} == {(7, 1, 1, 3), (15, 2, 1, 4)}
+    assert {(r.tx_id, r.account_id, r.lane, r.value) for r in ledger.flag_changes.collect()} == {(7, 1, 2, 0), (8, 1, 2, 0), (15, 2, 2, 70)}
+    assert {r.key_str: r.value.i for r in state.kv(ledger.kv_events).collect()} == {"reserved/1": 200, "reserved/2": 70}
+    assert {(r.name, r.version, r.crc32c > 0) for r in state.functions(ledger.fn_events).collect()} == {(name, 1, True) for name in known}
+    assert {r.tx_id: r.sub_item_count for r in ledger.tx.collect() if r.tx_id in (7, 9, 11)} == {7: 4, 9: 0, 11: 2}
+
+
+def test_a_program_counts_from_its_registration_until_it_is_unregistered(spark):
+    one = programs.Program(lambda p: F.lit(0), lambda p: p[0], ((lambda p: F.lit(1), lambda p: p[0]),))
+    call, register = {"op": "Function", "fn_name": "one", "params": [5]}, {"op": "FunctionRegistration", "fn_name": "one"}
+    rows = [open_(1), call, register, call, call]
+    balances, reasons, _ = run(spark, rows, programs={"one": one})
+    assert reasons == {1: 0, 2: S.INVALID_OPERATION, 3: 0, 4: 0, 5: 0} and balances[1] == 10
+    calls = spark.createDataFrame([(t, "one") for t in (1, 5, 9_999, 10_001, 30_000)], "tx_id long, fn_name string")
+    events = spark.createDataFrame([(4, "one", 7), (10_000, "one", 0), (25_000, "one", 8), (26_000, "two", 8)], "tx_id long, name string, crc32c long")
+    assert {r.tx_id for r in programs.registered(calls, events).collect()} == {5, 9_999, 30_000}
 
 
 def test_stream_equals_batch(spark, tmp_path):
