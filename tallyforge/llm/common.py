@@ -48,6 +48,14 @@ def only(operator: str) -> None:
     keep((operator,), lambda: None)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null. Only byte-length arithmetic: no array of words is built."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

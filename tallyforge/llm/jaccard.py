@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import MIX, drop_persisted, only, persist, pieces, runs_of, table, word_hashes
+from tallyforge.llm.common import MIX, drop_persisted, free, only, persist, pieces, runs_of, table, word_hashes
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -313,11 +313,13 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Of rows that repeat this id the one with the smallest hash of all columns stays. Rows without an id all stay.
     """
-    found = persist(classes(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(id_col) == F.col("component_id")).alias("_first")), "jaccard-found")
-    each = found.groupBy("_id").agg(F.max("_first").alias("_first"), F.count("*").alias("_rows"))
-    odd = few(persist(each.where("NOT _first OR _rows > 1"), "jaccard-odd"))  # ids that go, or whose rows are more than one
-    alone = docs.join(odd, F.col(id_col) == F.col("_id"), "left_anti")
-    repeated = docs.join(odd.where("_first"), F.col(id_col) == F.col("_id"), "left_semi")
+    own = free("_id", docs.columns)
+    found = persist(classes(docs, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(own), (F.col(id_col) == F.col("component_id")).alias("first")), "jaccard-found")
+    each = found.groupBy(own).agg(F.max("first").alias("first"), F.count("*").alias("n"))
+    odd = persist(each.where("NOT first OR n > 1"), "jaccard-odd")  # ids that go, or whose rows are more than one
+    same = F.col(f"`{id_col}`") == F.col(own)
+    alone = docs.join(few(odd.select(own)), same, "left_anti")
+    repeated = docs.join(few(odd.where("first").select(own)), same, "left_semi")
     one = repeated.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
     return alone.unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
 

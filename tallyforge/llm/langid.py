@@ -194,15 +194,16 @@ def parser(training: tuple[tuple[str, str], ...]) -> Parser:
 
 def learn(docs: DataFrame, n_docs: int = DOCS, id_col: str = "doc_id") -> tuple[tuple[str, str], ...]:
     """Per language, in the order of codes, its folded training text."""
-    able = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull() & ~is_held_out(F.col(id_col)))
+    docs = docs.select(F.col(id_col).alias("_id"), "lang", "text").where(~is_held_out(F.col("_id")))
+    able = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull())
     size = F.char_length("text")
-    able = able.select("lang", F.xxhash64("text").alias("_t"), F.struct(size > COMMON, F.xxhash64(id_col), F.col(id_col), F.xxhash64("text")).alias("_order"), size.alias("_size"))
+    able = able.select("lang", F.xxhash64("text").alias("_t"), F.struct(size > COMMON, F.xxhash64("_id"), F.col("_id"), F.xxhash64("text")).alias("_order"), size.alias("_size"))
     ranked = able.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_order"))).where(F.col("_n") <= n_docs)
     upto = F.sum("_size").over(Window.partitionBy("lang").orderBy("_n"))  # n_docs rows a language
     chosen = ranked.withColumn("_upto", upto).where((F.col("_upto") <= TRAIN_CHARS) | (F.col("_n") == 1)).groupBy("lang", "_t").agg(F.min("_n").alias("_n"))
     chosen = chosen.select(F.col("lang").alias("_lang"), F.col("_t"), F.col("_n"))
     same = (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_t"))
-    rows = docs.where(~is_held_out(F.col(id_col))).join(F.broadcast(chosen), same).groupBy("_lang", "_n").agg(F.min("text").alias("text"))
+    rows = docs.join(F.broadcast(chosen), same).groupBy("_lang", "_n").agg(F.min("text").alias("text"))
     letters, out = lowered(), {}
     for row in sorted(rows.collect(), key=lambda r: (r["_lang"], r["_n"])):
         s = folded(row["text"], letters)

@@ -12,7 +12,7 @@ groups of equal documents, plus the rank within such a group. The offset is an M
 
 Defined cases: a null or empty text has size 0; a source without words has target 0 and its documents are not taken;
 equal documents are ordered by id (rows equal in id too are interchangeable, each is sampled); an empty table gives none.
-Columns of docs may have any names: what is joined carries reserved ones.
+Columns of docs may have any names: rows are carried whole, apart from what is joined.
 """
 
 from __future__ import annotations
@@ -81,10 +81,11 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with its columns."""
-    rows = keyed(docs, id_col, text_col, source_col)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    rows = keyed(whole, "_id", "_text", "_source").drop("_text", "_source")
     plan = persist(offsets(rows.select("_key", "_size", "_salt")), "mix-offsets")
-    taken = with_copies(rows, plan, id_col).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = with_copies(rows, plan, "_id").where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

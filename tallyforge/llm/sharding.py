@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import scratch_dir, table
+from tallyforge.llm.common import free, scratch_dir, table
 from tallyforge.sources.commits import CommitLog
 
 #: Compressed bytes of a full shard; a loader reads shards whole.
@@ -153,14 +153,6 @@ class ShardStore:
         return gone
 
 
-def free(name: str, columns: list[str]) -> str:
-    """name, with as many underscores before it as no column has."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def tier_of(size, target: int):
     """0 from three quarters of the target on, else 1 for each further factor RATIO below it."""
     return F.when(size >= 0.75 * target, 0).otherwise(F.least(F.lit(12), 1 + F.floor(F.ln(F.lit(float(target)) / F.greatest(size, F.lit(1))) / F.ln(F.lit(float(RATIO)))).cast("int")))

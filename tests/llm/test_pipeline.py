@@ -4,6 +4,7 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyforge.llm import langid, mixing, quality
@@ -59,3 +60,18 @@ def test_clean_labelled_documents_stay(spark, small):
     clean = {r.doc_id for r in docs.collect() if r.doc_id in good and not failed(r.text)}
     out = corpus_pipeline.quality_rules(spark, corpus_pipeline.language_id(spark, docs, small), small)
     assert len(clean & {r.doc_id for r in out.collect()}) > 0.98 * len(clean)
+
+
+def test_stages_on_an_empty_table_and_with_clashing_columns(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    extra = {c: F.lit(k) for k, c in enumerate(["_id", "_key", "_size", "_row", "_copy", "_lang", "_t", "first", "n", "cls", "kept", "quality", "comp", "th"])}
+    wide = docs.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, wide.limit(0), tiny)
+        assert empty.count() == 0
+        if name == "byte_bpe":
+            continue
+        assert empty.columns == wide.columns
+        rows = stage(spark, wide, tiny)
+        assert rows.columns == wide.columns and rows.select(docs.columns).exceptAll(stage(spark, docs, tiny)).isEmpty()
+        assert rows.where(" OR ".join(f"`{c}` <> {k}" for k, c in enumerate(extra))).isEmpty()
