@@ -36,9 +36,9 @@ from tallyforge.llm.common import persist, table
 K = 20
 #: Times k estimates that are scored for the bar.
 TAKE = 2
-EPSILON = 2.0
+EPSILON = 3.0
 #: Bits of a code, at least; a multiple of 64.
-BITS = 512
+BITS = 1024
 PLANES = 4
 QUERY_BLOCK, VECTOR_BLOCK = 512, 1 << 15
 SEED = 11

@@ -91,7 +91,7 @@ def test_estimates_from_packed_bits_stay_within_their_errors():
     for dim in (16, 64, 700):
         v, q = rng.standard_normal((2000, dim)), rng.standard_normal((20, dim))
         words, length, c = ann.codes_of(v)
-        assert words.shape == (2000, max(512, -(-dim // 64) * 64) // 64)
+        assert words.shape == (2000, max(ann.BITS, -(-dim // 64) * 64) // 64)
         signs = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little") * 2.0 - 1
         ones = np.bitwise_count(words).sum(1, dtype=np.int32)
         for x in q:
