@@ -335,3 +335,16 @@ def test_submitted_stream_equals_batch(spark, tiny, tmp_path, profile):
     assert {(r.tx_id, r.fail_reason) for r in engine.table("tx").collect()} == {(r.tx_id, r.fail_reason) for r in batch.tx.collect()}
     assert {(r.account_id, r.balance) for r in engine.accounts().collect() if r.balance} == {(r.account_id, r.balance) for r in state.balances(batch.entries).collect() if r.balance}
     assert sum(r.n for r in ledger_stream.segments_seen(engine.table("tx"), 200).collect()) == last
+
+
+def test_a_cluster_session_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tallyforge.scratch import scratch_dir
+
+    kept = {}
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=kept.get, set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://h:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(session(master))
+    assert scratch_dir(session("local[2]")) == scratch_dir(session("yarn")) == kept["spark.checkpoint.dir"]
