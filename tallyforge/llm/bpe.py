@@ -5,7 +5,7 @@ smallest (pair rank, position) below them, so its root is the leftmost pair of m
 the merged pair and of its live left neighbour and their ancestors, which is logarithmic in the word's length. Words of
 up to WIDE bytes are merged many at a time, each in a tree of its own with one NumPy step for all of them; longer ones one
 by one. A worker keeps the ids of the chunks between spaces it met, up to about CACHE_BYTES, then starts anew; texts are
-taken in runs of RUN_BYTES, so that memory is bounded by these two and the longest text.
+taken in runs of PIECE_BYTES, so that memory is bounded by these two and the longest text.
 
 Mapping Arrow batches needs no shuffle. Defined cases: a null text is empty and has no ids; texts and words may be of any
 length; repeated rows are encoded alike; other columns are not read.
@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tallyforge.llm.common import keep, runs_of, table, text_list
+from tallyforge.llm.common import PIECE_BYTES, keep, runs_of, table, text_list
 
 WIDE = 32
 CACHE_BYTES = 32 << 20
@@ -255,7 +255,7 @@ def encode_decode(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for batch in runs_of(batches, 1):
+        for batch in runs_of(batches, 1, PIECE_BYTES):
             counts, ids_sha, text_sha, lists = [], [], [], []
             ids, off = c.encode(text_list(batch.column(1)))
             raw, ends = c.decode(ids)

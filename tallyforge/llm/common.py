@@ -88,11 +88,15 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most RUN_BYTES in the given column of texts, or one longer text."""
+def runs_of(batches: Iterator[pa.RecordBatch], text: int, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most limit bytes in the given column of texts, or one longer text.
+
+    After the last, Arrow's unused memory goes back to the system, as a worker stays on when it is idle.
+    """
     for batch in batches:
-        for lo, hi, _, _ in pieces(batch.column(text), RUN_BYTES):
+        for lo, hi, _, _ in pieces(batch.column(text), limit):
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
 
 
 def text_list(column: pa.Array) -> list[str]:

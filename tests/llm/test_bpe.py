@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -98,3 +100,22 @@ def test_odd_rows(spark, encoding):
     assert sorted((r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((i or 0, *row(t, encoding)) for i, t in rows)
     assert all(len(r.ids) == r.n_tokens for r in got)
     assert bpe.encode_decode(df.limit(0)).count() == 0
+
+
+def test_a_run_of_texts_takes_little_memory():
+    """What is held besides the cache, over 3 MB of texts whose chunks are known."""
+
+    class Docs:
+        dtypes = [("doc_id", "bigint")]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+
+    run = bpe.encode_decode(Docs())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["one word after another, 12 of 345 " * 30] * 3000)], names=["doc_id", "text"])
+    first = list(run([batch.slice(0, 1)]))
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first[0].num_rows == 1 and rows == 3000
+    assert peak < 20 << 20
