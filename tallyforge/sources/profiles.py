@@ -54,14 +54,25 @@ def event_ops(spark: SparkSession, sf_dir: str, profile: str = "P1") -> DataFram
     return first.unionByName(rows)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by key in as many parts as the session shuffles into, and what it is joined with by key.
+
+    Adaptive execution puts parts together by compressed bytes; of consecutive numbers, some bytes a row, a task would get millions.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def order_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The journal's entries without running balances."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("amount", cents(F.col("l_extendedprice")))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "amount", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
-    tx = (F.col("l_orderkey") + 1).alias("tx_id")
-    debits = lines.select(tx, F.row_number().over(order).alias("seq"), F.lit("DEBIT").alias("kind"), (F.col("l_suppkey") + SUPPLIERS_FROM).alias("account_id"), "amount")
-    totals = lines.groupBy("l_orderkey").agg(F.sum("amount").alias("amount"))
-    credits = totals.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(tx, F.lit(0).alias("seq"), F.lit("CREDIT").alias("kind"), (F.col("o_custkey") + 1).alias("account_id"), "amount")
+    """The journal's entries without running balances.
+
+    Lines of an order are numbered by line number, part, supplier and amount; whichever of those that agree in all four comes
+    first, the entries are the same, so no other column is shuffled.
+    """
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") + 1).alias("tx_id"), "l_linenumber", "l_partkey", "l_suppkey", cents(F.col("l_extendedprice")).alias("amount"))
+    numbered = lines.withColumn("seq", F.row_number().over(Window.partitionBy("tx_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "amount")))
+    debits = numbered.select("tx_id", "seq", F.lit("DEBIT").alias("kind"), (F.col("l_suppkey") + SUPPLIERS_FROM).alias("account_id"), "amount")
+    totals = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("amount"))
+    credits = totals.join(spread(table(spark, sf_dir, "orders"), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("l_orderkey") + 1).alias("tx_id"), F.lit(0).alias("seq"), F.lit("CREDIT").alias("kind"), (F.col("o_custkey") + 1).alias("account_id"), "amount")
     return debits.unionByName(credits)
 
 
@@ -72,4 +83,4 @@ def journal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def journal_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = order_legs(spark, sf_dir).groupBy("tx_id").agg(F.count("*").cast("int").alias("sub_item_count"))
     orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1).alias("tx_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("ts_ns"))
-    return orders.join(counts, "tx_id", "left").select("tx_id", F.lit(0).alias("fail_reason"), F.coalesce("sub_item_count", F.lit(0)).alias("sub_item_count"), "ts_ns", F.lit(0).cast("long").alias("user_ref"), F.lit("TRANSFER").alias("tag"), segment_of(F.col("tx_id")).alias("segment_id"))
+    return spread(orders, "tx_id").join(counts, "tx_id", "left").select("tx_id", F.lit(0).alias("fail_reason"), F.coalesce("sub_item_count", F.lit(0)).alias("sub_item_count"), "ts_ns", F.lit(0).cast("long").alias("user_ref"), F.lit("TRANSFER").alias("tag"), segment_of(F.col("tx_id")).alias("segment_id"))

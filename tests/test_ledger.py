@@ -348,3 +348,17 @@ def test_a_cluster_session_needs_a_shared_folder():
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             scratch_dir(session(master))
     assert scratch_dir(session("local[2]")) == scratch_dir(session("yarn")) == kept["spark.checkpoint.dir"]
+
+
+def scans(df):
+    """The plan as text, and how many files' scans it has."""
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    return text, text.count("FileScan")
+
+
+def test_legs_shuffle_only_what_numbers_and_fills_them(spark, tiny):
+    from tallyforge.sources.profiles import order_legs
+
+    plan, _ = scans(order_legs(spark, tiny))
+    assert "l_suppkey" in plan and "l_tax" not in plan.split("Location")[0] and "l_shipdate" not in plan
+    assert "RepartitionByExpression [o_orderkey" in order_legs(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()  # not put together by size
