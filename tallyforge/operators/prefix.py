@@ -16,23 +16,26 @@ def signed(kind: str = "kind", amount: str = "amount") -> Column:
     return F.when(F.col(kind) == "DEBIT", F.col(amount)).otherwise(-F.col(amount))
 
 
-def running_sum(df: DataFrame, value: Column, order: list[str], name: str, keys: list[str] = (), segment: str = "segment_id") -> DataFrame:
+def running_sum(df: DataFrame, value: Column, order: list[str], name: str, keys: list[str] = (), segment: Column | str = "segment_id") -> DataFrame:
     """df with the sum of value over the rows of the same keys up to each row, in an order that agrees with segment.
 
-    A key's rows are split by ranges of segments, so a key with a third of all rows is many groups of bounded size.
+    A key's rows are split by ranges of segments, so a key with a third of all rows is many groups of bounded size. The rows
+    are shuffled and sorted once; the totals of the ranges are made from rows added up before they are shuffled.
     """
-    rows = df.withColumns({"_value": value, "_range": F.floor(F.col(segment) / RANGE)})
-    totals = rows.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    segment = F.col(segment) if isinstance(segment, str) else segment
+    rows = df.withColumn("_range", F.floor(segment / RANGE))
+    totals = rows.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inner = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(totals, [*keys, "_range"]).withColumn(name, (F.col("_before") + F.sum("_value").over(inner)).cast("long")).drop("_value", "_before", "_range")
+    along = rows.repartition(*keys, "_range").withColumn("_along", F.sum(value).over(inner))
+    return along.join(totals, [*keys, "_range"]).withColumn(name, (F.col("_before") + F.col("_along")).cast("long")).drop("_along", "_before", "_range")
 
 
-def balances_along(entries: DataFrame) -> DataFrame:
-    """entries with computed_balance: the account's balance after each entry."""
-    out = running_sum(entries, signed(), ["tx_id", "seq"], "computed_balance", ["account_id"])
-    return out.select("tx_id", "seq", "kind", "account_id", "amount", "computed_balance", "segment_id")
+def balances_along(entries: DataFrame, segment: Column | str = "segment_id") -> DataFrame:
+    """entries with computed_balance, the account's balance after each entry, and segment_id."""
+    out = running_sum(entries, signed(), ["tx_id", "seq"], "computed_balance", ["account_id"], segment)
+    return out.select("tx_id", "seq", "kind", "account_id", "amount", "computed_balance", (F.col(segment) if isinstance(segment, str) else segment).alias("segment_id"))
 
 
 def row_numbers(df: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:

@@ -76,8 +76,12 @@ def order_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debits.unionByName(credits)
 
 
-def journal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balances_along(order_legs(spark, sf_dir).withColumn("segment_id", segment_of(F.col("tx_id"))))
+def journal_entries(spark: SparkSession, sf_dir: str, last_tx_id: int | None = None) -> DataFrame:
+    """The journal, or its start up to a transaction: balances along it do not depend on what follows."""
+    legs = order_legs(spark, sf_dir)
+    if last_tx_id is not None:
+        legs = legs.where(F.col("tx_id") <= last_tx_id)
+    return balances_along(legs, segment_of(F.col("tx_id")))
 
 
 def journal_tx(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,9 +356,34 @@ def scans(df):
     return text, text.count("FileScan")
 
 
+def test_the_start_of_the_journal_is_that_of_the_whole(spark, tiny):
+    from tallyforge.sources.profiles import journal_entries
+
+    start, whole = journal_entries(spark, tiny, 700), journal_entries(spark, tiny)
+    assert start.count() > 0 and start.exceptAll(whole.where("tx_id <= 700")).isEmpty() and whole.where("tx_id <= 700").exceptAll(start).isEmpty()
+
+
+def test_a_checkpoint_is_carried_on_over_a_tail_of_one_row_each(spark):
+    from tallyforge.plans import checkpoints
+
+    base = spark.createDataFrame([(1, 10, 5), (2, 20, 5)], "account_id long, balance long, last_tx_id long")
+    tail = spark.createDataFrame([(6, 0, 1, 11), (7, 1, 1, 13), (7, 0, 1, 12), (6, 1, 3, 30)], "tx_id long, seq int, account_id long, computed_balance long")
+    out = checkpoints.balances_after(base, tail)
+    assert sorted(map(tuple, out.collect())) == [(1, 13), (2, 20), (3, 30)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
 def test_legs_shuffle_only_what_numbers_and_fills_them(spark, tiny):
     from tallyforge.sources.profiles import order_legs
 
     plan, _ = scans(order_legs(spark, tiny))
     assert "l_suppkey" in plan and "l_tax" not in plan.split("Location")[0] and "l_shipdate" not in plan
     assert "RepartitionByExpression [o_orderkey" in order_legs(spark, tiny)._jdf.queryExecution().optimizedPlan().toString()  # not put together by size
+
+
+def test_rows_of_a_running_sum_are_sorted_once(spark):
+    from tallyforge.operators import prefix
+
+    entries = spark.createDataFrame([(1, 0, "DEBIT", 1, 5, 1)], "tx_id long, seq int, kind string, account_id long, amount long, segment_id long")
+    plan = prefix.balances_along(entries)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [account_id") <= 3
