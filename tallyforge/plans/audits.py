@@ -98,5 +98,9 @@ def broken_tail(checked: DataFrame) -> DataFrame:
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either that the other lacks; empty if replayed and live state are the same."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows of either that the other lacks, as often as it lacks them; empty if replayed and live state are the same. Each side is read once."""
+    n = "_n"
+    both = a.withColumn(n, F.lit(1)).union(b.withColumn(n, F.lit(-1)))
+    more = both.groupBy(*[f"`{c}`" for c in a.columns]).agg(F.sum(n).alias(n)).where(F.col(n) != 0)
+    side = F.when(F.col(n) > 0, "left").otherwise("right")
+    return more.select(*[f"`{c}`" for c in a.columns], F.explode(F.array_repeat(side, F.abs(F.col(n)).cast("int"))).alias("side"))

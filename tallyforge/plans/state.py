@@ -21,6 +21,11 @@ def balances_by_sum(entries: DataFrame) -> DataFrame:
     return entries.groupBy("account_id").agg(F.sum(signed()).alias("balance"))
 
 
+def balances_both_ways(entries: DataFrame) -> DataFrame:
+    """(account_id, balance, replayed): balances() and balances_by_sum() in one pass."""
+    return entries.groupBy("account_id").agg(F.max_by("computed_balance", _order()).alias("balance"), F.sum(signed()).alias("replayed"))
+
+
 def account_flags(opens: DataFrame, flag_events: DataFrame | None = None) -> DataFrame:
     """Last flags of each account: from its opening or a later update."""
     rows = opens.select(F.explode(F.sequence("begin_account_id", F.col("begin_account_id") + F.col("count") - 1)).alias("account_id"), "tx_id", "seq", "flags")

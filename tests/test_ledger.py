@@ -373,6 +373,17 @@ def test_a_checkpoint_is_carried_on_over_a_tail_of_one_row_each(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
 
 
+def test_a_replayed_log_is_read_once(spark, tiny, tmp_path):
+    from tallyforge.plans import audits
+
+    schema = "k long, v long"
+    a, b = spark.createDataFrame([(1, 1), (1, 1), (2, None), (3, 3)], schema), spark.createDataFrame([(1, 1), (2, None), (4, 4), (4, 4)], schema)
+    assert sorted(map(tuple, audits.differences(a, b).collect())) == [(1, 1, "left"), (3, 3, "left"), (4, 4, "right"), (4, 4, "right")]
+    a.write.parquet(str(tmp_path / "a"))
+    read = spark.read.parquet(str(tmp_path / "a"))
+    assert scans(audits.differences(read, read.where("k > 1")))[1] == 2
+
+
 def test_legs_shuffle_only_what_numbers_and_fills_them(spark, tiny):
     from tallyforge.sources.profiles import order_legs
 
