@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.prefix import RANGE, signed
@@ -80,12 +80,22 @@ def tx_gaps(tx: DataFrame, width: int = 1_000_000) -> DataFrame:
     return inner.unionByName(ends).where("before > a + 1").select(F.col("a").alias("after_tx_id"), F.col("before").alias("before_tx_id"))
 
 
-def checksums(tx: DataFrame, entries: DataFrame) -> DataFrame:
-    """A CRC-32 of each transaction over the text of its followers and then its own (Spark has no CRC-32C)."""
-    line = F.concat_ws("|", "seq", "kind", "account_id", "amount", "computed_balance")
-    held = entries.groupBy("tx_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+def checksums(tx: DataFrame, entries: DataFrame, found: Column | None = None) -> DataFrame:
+    """A CRC-32 of each transaction over the text of its followers and then its own (Spark has no CRC-32C).
+
+    With found, an amount for each entry, also found_crc32: that with this amount instead, from the same one shuffle. Followers
+    are shuffled as values; their text is made afterwards.
+    """
+    fields = [F.col(c) for c in ("seq", "kind", "account_id", "amount", "computed_balance")]
+    held = entries.groupBy("tx_id").agg(F.collect_list(F.struct(*fields, *([] if found is None else [found.alias("found")]))).alias("_held"))  # MAX_ENTRIES at most
     own = F.concat_ws("|", "tx_id", "fail_reason", "sub_item_count", "ts_ns", "user_ref", "tag")
-    return tx.join(held, "tx_id", "left").select("tx_id", F.crc32(F.concat_ws("\n", F.col("body"), own).cast("binary")).alias("crc32"))
+
+    def crc(amount: str) -> Column:
+        lines = F.transform("_held", lambda x: F.struct(x["seq"].alias("seq"), F.concat_ws("|", x["seq"], x["kind"], x["account_id"], x[amount], x["computed_balance"]).alias("t")))
+        body = F.array_join(F.transform(F.array_sort(lines), lambda x: x["t"]), "\n")
+        return F.crc32(F.concat_ws("\n", body, own).cast("binary"))
+
+    return tx.join(held, "tx_id", "left").select("tx_id", crc("amount").alias("crc32"), *([] if found is None else [crc("found").alias("found_crc32")]))
 
 
 def broken_tail(checked: DataFrame) -> DataFrame:

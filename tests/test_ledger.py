@@ -384,6 +384,19 @@ def test_a_replayed_log_is_read_once(spark, tiny, tmp_path):
     assert scans(audits.differences(read, read.where("k > 1")))[1] == 2
 
 
+def test_found_checksums_equal_those_of_changed_entries(spark, tiny):
+    from pyspark.sql import functions as F
+
+    from tallyforge.plans import audits
+    from tallyforge.sources.profiles import journal_tx, order_legs
+
+    tx, entries = journal_tx(spark, tiny), order_legs(spark, tiny).withColumn("computed_balance", F.col("amount"))
+    other = F.col("amount") + F.col("seq") % 2
+    both = audits.checksums(tx, entries, other)
+    apart = audits.checksums(tx, entries).join(audits.checksums(tx, entries.withColumn("amount", other)).withColumnRenamed("crc32", "found_crc32"), "tx_id")
+    assert both.count() == tx.count() and both.exceptAll(apart).isEmpty() and apart.exceptAll(both).isEmpty()
+
+
 def test_legs_shuffle_only_what_numbers_and_fills_them(spark, tiny):
     from tallyforge.sources.profiles import order_legs
 
