@@ -68,7 +68,8 @@ def with_copies(rows: DataFrame, plan: DataFrame, id_col: str) -> DataFrame:
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy(id_col))
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(F.lit(0.0))
     crossed = lambda k: F.floor(F.col("_u") + F.col("_rate") * k)
-    out = rows.join(plan, ["_key", "_size", "_salt"]).withColumns({"_rank": rank, "_rate": rate})
+    # A merge join: rows are dealt by these columns for their rank anyway, and the plan takes far more memory in the driver than in its file.
+    out = rows.join(plan.hint("merge"), ["_key", "_size", "_salt"]).withColumns({"_rank": rank, "_rate": rate})
     return out.withColumn("_copies", (crossed(F.col("_rank")) - crossed(F.col("_rank") - 1)).cast("int"))
 
 

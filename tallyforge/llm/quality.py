@@ -11,6 +11,7 @@ rows are judged alike, columns other than id and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ FAMILIES = 4
 SCALE = 20.0
 #: Labelled rows used for fitting, at most.
 SAMPLE = 1500
+#: Sample rows that a step of fitting handles at once.
+FIT_ROWS = 64
 #: A text is kept from this calibrated probability of good quality on.
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -120,7 +123,7 @@ def margins(model: Model, buf: np.ndarray, off: np.ndarray, words) -> np.ndarray
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(good, buckets, values) of labelled rows; buckets and values as bytes."""
+    """(good, part, n, steps, values) of labelled rows: n buckets, as compressed steps from one to the next, and their values."""
     only("quality")
     for batch in batches:
         good, part = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -133,31 +136,45 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k, n = np.unique(buckets[cut[i] : cut[i + 1]], return_counts=True)
                     keys[i].append(k)
                     values[i].append(n * (SCALE / max(1, n.sum())))
+            steps = [np.diff(np.concatenate(x).astype(np.int32), prepend=np.int32(0)) for x in keys]
             yield pa.RecordBatch.from_pydict({
-                "good": good[lo:hi], "part": part[lo:hi],
-                "buckets": pa.array([np.concatenate(x).astype(np.int32).tobytes() for x in keys], pa.binary()), "values": pa.array([np.concatenate(x).astype(np.float32).tobytes() for x in values], pa.binary()),
+                "good": good[lo:hi], "part": part[lo:hi], "n": pa.array(map(len, steps), pa.int64()),
+                "steps": pa.array([zlib.compress(x.tobytes(), 1) for x in steps], pa.binary()), "values": pa.array([zlib.compress(np.concatenate(x).astype(np.float32).tobytes(), 1) for x in values], pa.binary()),
             })
 
 
 def logistic(buckets: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam over the sample."""
-    columns, ix = np.unique(np.concatenate(buckets), return_inverse=True)
-    x, rows = np.concatenate(values).astype(np.float64), np.repeat(np.arange(len(good)), [len(b) for b in buckets])
-    w, m, v = np.zeros(len(columns)), np.zeros(len(columns)), np.zeros(len(columns))
+    """Weights and bias by full-batch Adam over the sample, FIT_ROWS rows at once: beside the sample itself little memory is taken."""
+    w, m, v = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
     share = good.mean()
     weight = np.where(good, 0.5 / share, 0.5 / (1 - share)) / len(good)
     bias = mb = vb = 0.0
+    miss = np.zeros(len(good))
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, x * w[ix], len(good)) + bias, -40, 40)))
-        miss = (p - good) * weight
-        g, gb = np.bincount(ix, x * miss[rows], len(columns)) + decay * w / len(good), miss.sum()
+        g = np.zeros(1 << BITS)
+        for lo in range(0, len(good), FIT_ROWS):
+            of = slice(lo, lo + FIT_ROWS)
+            ix, x = np.concatenate(buckets[of]), np.concatenate(values[of]).astype(np.float64)
+            rows = np.repeat(np.arange(len(buckets[of])), [len(b) for b in buckets[of]])
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, x * w[ix], len(buckets[of])) + bias, -40, 40)))
+            miss[of] = (p - good[of]) * weight[of]
+            np.add.at(g, ix, x * miss[of][rows])
+        g, gb = g + decay * w / len(good), miss.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a, b = 1 - 0.9**t, 1 - 0.999**t
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
         bias -= rate * (mb / a) / (np.sqrt(vb / b) + 1e-8)
-    out = np.zeros(1 << BITS)
-    out[columns] = w
-    return out, bias
+    return w, bias
+
+
+def unpacked(got: pa.Table) -> list[list[np.ndarray]]:
+    """Buckets and values of each row of features()."""
+    ends = np.cumsum([0, *got.column("n").to_pylist()])
+    keys, values = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.float32)
+    for lo, hi, k, v in zip(ends[:-1], ends[1:], got.column("steps"), got.column("values"), strict=True):
+        np.cumsum(np.frombuffer(zlib.decompress(k.as_buffer()), np.int32), dtype=np.int32, out=keys[lo:hi])
+        values[lo:hi] = np.frombuffer(zlib.decompress(v.as_buffer()), np.float32)
+    return [[x[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)] for x in (keys, values)]
 
 
 def platt(z: np.ndarray, good: np.ndarray) -> tuple[float, float]:
@@ -184,12 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     rows = rows.groupBy("_id", "good").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id"), "_id", "good")
     rows = rows.select("good", (F.xxhash64("_id", F.lit(7)) % 4 == 0).alias("part"), "text")
-    got = rows.mapInArrow(features, "good boolean, part boolean, buckets binary, values binary").toArrow()
+    got = rows.mapInArrow(features, "good boolean, part boolean, n long, steps binary, values binary").toArrow()
     good, aside = np.array(got.column("good").to_pylist(), bool), np.array(got.column("part").to_pylist(), bool)
     if good.all() or not good.any():
         return None
-    buckets = [np.frombuffer(x, np.int32) for x in got.column("buckets").to_pylist()]
-    values = [np.frombuffer(x, np.float32) for x in got.column("values").to_pylist()]
+    buckets, values = unpacked(got)
+    del got
+    pa.default_memory_pool().release_unused()  # the driver goes on
     if min(good[aside].sum(), (~good[aside]).sum(), good[~aside].sum(), (~good[~aside]).sum()) < 5:
         fitting = setting = np.flatnonzero(np.ones(len(good), bool))
     else:

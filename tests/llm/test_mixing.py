@@ -87,3 +87,9 @@ def test_sql_gives_the_same(spark, tiny):
     assert got.keys() == sql.keys()
     for k, (size, whole, target, taken) in got.items():
         assert (size, whole, taken) == (sql[k][0], sql[k][1], sql[k][3]) and target == pytest.approx(sql[k][2])
+
+
+def test_the_plan_of_a_mix_is_not_sent_to_the_driver(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

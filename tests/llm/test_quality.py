@@ -1,7 +1,10 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,27 @@ def test_filter_keeps_columns(spark):
     out = quality.judge(docs, None, keep_columns=True)
     assert out.schema == docs.schema
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 1]
+
+
+def test_fitting_takes_little_memory_beside_its_sample():
+    rng = np.random.default_rng(3)
+    buckets = [np.sort(rng.choice(1 << quality.BITS, 3000, replace=False)).astype(np.int32) for _ in range(1500)]
+    values = [rng.random(3000, np.float32) for _ in buckets]
+    tracemalloc.start()
+    quality.logistic(buckets, values, rng.random(1500) < 0.5, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in [*buckets, *values]) / 2
+
+
+def test_features_are_collected_small_and_whole():
+    texts = ["", " ".join(f"word{i % 700} of {i % 13}" for i in range(4000)), "one two", "é 日本 " * 30]
+    batch = pa.RecordBatch.from_pydict({"good": [True] * 4, "part": [False] * 4, "text": texts})
+    got = pa.Table.from_batches(list(quality.features(iter([batch]))))
+    assert sum(len(x.as_buffer()) for k in ("steps", "values") for x in got.column(k)) < 4 * sum(got.column("n").to_pylist())
+    keys, values = quality.unpacked(got)
+    for text, k, v in zip(texts, keys, values, strict=True):
+        buf, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        want = [np.unique(b, return_counts=True) for b, _ in quality.grams(buf, off, quality.word_hashes(buf, off))]
+        assert k.tolist() == [x for b, _ in want for x in b.tolist()]
+        assert v.tolist() == [x for _, n in want for x in (n * (quality.SCALE / max(1, n.sum()))).astype(np.float32).tolist()]
